@@ -167,3 +167,22 @@ def byte_texts(column) -> list[bytes]:
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+
+
+def pieces_of(column, most: int = SCAN_BYTES):
+    """(from, to, texts as bytes) of an Arrow string column, about ``most`` bytes at a time, so
+    that of a batch only so much is held as Python objects."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in slices(sizes, most):
+        yield a, b, byte_texts(column.slice(a, b - a))
+
+
+def strings_of(column, most: int = SCAN_BYTES):
+    """Like pieces_of, with texts as strings."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in slices(sizes, most):
+        yield a, b, [x or "" for x in column.slice(a, b - a).to_pylist()]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, byte_texts, slices, staged, texts_of
+from .common import Words, pieces_of, staged, texts_of
 from .components import components
 
 SHINGLE = 5
@@ -108,9 +108,9 @@ def estimate(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.nd
 
 def _sign(batches):
     for batch in batches:
-        ids, texts = batch.column(0), byte_texts(batch.column(1))
-        for a, b in slices([len(x) for x in texts]):
-            doc, value = shingle_sets(texts[a:b])
+        ids = batch.column(0)
+        for a, b, texts in pieces_of(batch.column(1)):
+            doc, value = shingle_sets(texts)
             regs = registers(b - a, doc, value)
             at = np.searchsorted(doc, np.arange(b - a + 1))
             count = np.diff(at)
@@ -139,9 +139,9 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def _sets(batches):
     for batch in batches:
-        ids, texts = batch.column(0), byte_texts(batch.column(1))
-        for a, b in slices([len(x) for x in texts]):
-            doc, value = shingle_sets(texts[a:b])
+        ids = batch.column(0)
+        for a, b, texts in pieces_of(batch.column(1)):
+            doc, value = shingle_sets(texts)
             at = np.searchsorted(doc, np.arange(b - a + 1))
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([value[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
 

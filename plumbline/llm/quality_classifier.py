@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, slices
+from .common import pieces_of
 from .text_stats import Counts
 
 #: Labelled documents learned from at most: those of the smallest hashes of their doc_id.
@@ -135,9 +135,8 @@ def held_out(doc_id: int) -> bool:
 
 def _featurise(batches):
     for batch in batches:
-        texts = byte_texts(batch.column(1))
-        for a, b in slices([len(x) for x in texts]):
-            x = features(texts[a:b])
+        for a, b, texts in pieces_of(batch.column(1)):
+            x = features(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["y", "x"])
 
 
@@ -159,9 +158,8 @@ def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = byte_texts(batch.column(1))
-            for a, b in slices([len(x) for x in texts]):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(model.score(features(texts[a:b])))], names=["doc_id", "score"])
+            for a, b, texts in pieces_of(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(model.score(features(texts)))], names=["doc_id", "score"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = own.mapInArrow(run, "doc_id long, score double")
@@ -174,8 +172,7 @@ def filtered(docs: DataFrame, model: AdditiveModel) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = byte_texts(batch.column(at))
-            for a, b in slices([len(x) for x in texts]):
-                yield batch.slice(a, b - a).filter(pa.array(model.score(features(texts[a:b])) >= 0.5))
+            for a, b, texts in pieces_of(batch.column(at)):
+                yield batch.slice(a, b - a).filter(pa.array(model.score(features(texts)) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

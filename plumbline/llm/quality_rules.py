@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_texts, slices, staged
+from .common import pieces_of, staged
 from .text_stats import Counts
 
 MIN_WORDS, MOST_REPEATED = 10, 20
@@ -67,9 +67,8 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def _count(batches):
     for batch in batches:
-        texts = byte_texts(batch.column(3))
-        for a, b in slices([len(x) for x in texts]):
-            c = Counts(texts[a:b])
+        for a, b, texts in pieces_of(batch.column(3)):
+            c = Counts(texts)
             yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in range(3)] + [pa.array(getattr(c, k).astype(np.int64)) for k in _COUNTS], names=["doc_id", "lang", "source", *_COUNTS])
 
 

@@ -22,10 +22,11 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, strings_of
 from .tokens import LONGEST, MEMORY, plain
 
 BLANK = "▁"
@@ -120,7 +121,7 @@ class PieceModel:
     def _follows(self, before: str, piece: str) -> bool:
         """``piece`` can come after ``before`` (nothing: at the start) in a BPE encoding."""
         ok = self.merged(before + piece) == ([before, piece] if before else [piece])
-        if len(self._pairs) < 1_000_000:
+        if len(self._pairs) < MEMORY:
             self._pairs[before, piece] = ok
         return ok
 
@@ -281,10 +282,11 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model: s
     def run(batches):
         encoder = piece_model(path)
         for batch in batches:
-            raw = encoder.encode_many([x or "" for x in batch.column(at).to_pylist()])
-            ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, ids_col])
+            for a, b, texts in strings_of(batch.column(at), 1 << 22):
+                raw = encoder.encode_many(texts)
+                ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, ids], names=[*batch.schema.names, ids_col])
 
     schema = df.select("*", F.array().cast("array<int>").alias(ids_col)).schema
     return df.mapInArrow(run, schema)
@@ -299,9 +301,10 @@ def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", model
         decoder = piece_model(path)
         for batch in batches:
             column = batch.column(at)
-            values, ends = column.values.to_pylist(), column.offsets.to_numpy()
-            texts = [None if null else decoder.decode(values[a:b]) for a, b, null in zip(ends[:-1], ends[1:], column.is_null().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
+            for a, b in slices(sizes, 1 << 18):
+                texts = [None if x is None else decoder.decode(x) for x in column.slice(a, b - a).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
 
     schema = df.select("*", F.lit("").cast("string").alias(text_col)).schema
     return df.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, Words, _powers, byte_texts, mix64, slices, staged, texts_of
+from .common import BASES, Words, _powers, mix64, pieces_of, staged, texts_of
 
 MIN_WORDS = 25
 _U = np.uint64
@@ -70,9 +70,9 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), byte_texts(batch.column(1))
-            for a, b in slices([len(x) for x in texts]):
-                w, first = sentences(texts[a:b])
+            ids = batch.column(0)
+            for a, _, texts in pieces_of(batch.column(1)):
+                w, first = sentences(texts)
                 start, stop = runs(w, first, min_words)
                 if not len(start):
                     continue
@@ -95,16 +95,16 @@ def covered(found: DataFrame) -> DataFrame:
 
 def _remove(batches):
     for batch in batches:
-        texts, gone = byte_texts(batch.column(1)), batch.column(2)
-        for a, b in slices([len(x) for x in texts]):
-            w, first = sentences(texts[a:b])
+        gone = batch.column(2)
+        for a, b, texts in pieces_of(batch.column(1)):
+            w, first = sentences(texts)
             base = np.searchsorted(first, w.first)
             count = np.diff(base)
             # A sentence reaches from its first word to the next sentence's.
             byte = np.append(w.start[first], 0)
             out, removed = [], np.zeros(b - a, np.int64)
             for k in range(b - a):
-                text, cuts = texts[a + k], gone[a + k].as_py()
+                text, cuts = texts[k], gone[a + k].as_py()
                 if cuts:
                     drop = np.zeros(count[k], bool)
                     for x in cuts:

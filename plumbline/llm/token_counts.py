@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import staged, strings_of
 from .tokens import byte_bpe, default_vocabulary
 
 END_OF_DOCUMENT = 50256
@@ -44,10 +44,10 @@ def write_flat(docs: DataFrame, end: int = END_OF_DOCUMENT, width: int = 2, bloc
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([tokens], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], names=["file", "block", "tokens", "doc_ids"])
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices([len(x or "") for x in texts], 1 << 22):
-                for k in range(a, b):
-                    raw = encode(texts[k] or "")
+            ids = batch.column(0).to_pylist()
+            for a, _, texts in strings_of(batch.column(1)):
+                for k, text in enumerate(texts, a):
+                    raw = encode(text)
                     held += (raw if width == 4 else np.frombuffer(raw, "<u4").astype(kind).tobytes()) + close
                     closed.append((len(held), ids[k]))
                     while len(held) >= step:
