@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import staged, strings_of
 from .tokens import byte_bpe, default_vocabulary
 
 SEQUENCE, END_ID = 1024, 2
@@ -158,11 +158,10 @@ def pieces(docs: DataFrame, size: int = SEQUENCE, end_id: int = END_ID, vocabula
     def run(batches):
         encode = byte_bpe(path, pattern).encode
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices([len(x or "") for x in texts], 1 << 22):
+            for a, _, texts in strings_of(batch.column(1)):
                 doc, piece, start, length, crc, raw = [], [], [], [], [], []
-                for k in range(a, b):
-                    ids = encode(texts[k] or "") + end
+                for k, text in enumerate(texts, a):
+                    ids = encode(text) + end
                     n = len(ids) // 4
                     at, p = 0, 0
                     while at < n:

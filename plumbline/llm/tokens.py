@@ -15,8 +15,8 @@ import numpy as np
 #: White space of the pattern other than blank and line feed.
 _ODD = re.compile("[\t\x0b\x0c\r\x85\xa0  -     　]")
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: Remembered chunks of a Python worker, about 0.2 kB each; more are encoded each time.
-MEMORY, LONGEST = 600_000, 48
+#: Remembered chunks of a Python worker, about 0.25 kB each; more are encoded each time.
+MEMORY, LONGEST = 250_000, 48
 #: Two white spaces together, in texts that have no odd ones.
 _DOUBLE = ("  ", " \n", "\n ", "\n\n")
 
