@@ -9,9 +9,10 @@ compared by register agreement, corrected for chance collisions, and what remain
 confirmed on the full sets.
 
 Groups of any size stay linear.  Equal sets are one class with one representative.
-Each representative is first confirmed against one smallest member of its bands; only
-members of a band that are then still in different components are paired at all, and
-no cap applies to those.
+Each representative is first confirmed against one smallest member of its bands.  Members
+of a band that are then still in different components are compared in blocks of bounded
+size (see links_across), exactly and without a cap; a block gives back a spanning set of
+links instead of all pairs.
 
 Rules: null text counts as empty; texts without a word are linked with nothing and keep
 their own id.  Rows that share a doc_id are one node.  A null doc_id takes the component
@@ -24,6 +25,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,8 @@ REGISTERS, BUCKET_BITS, MANTISSA = 128, 7, 10
 BAND = 4
 #: Links have 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
+#: Texts of a block, and shingles of a strip of its incidence matrix.
+BLOCK, STRIP = 256, 2048
 #: Candidates whose estimate is lower are not confirmed: five standard errors under 0.75.
 ESTIMATE_FLOOR = 0.75 - 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 _U = np.uint64
@@ -142,8 +146,13 @@ def _sets(batches):
         ids = batch.column(0)
         for a, b, texts in pieces_of(batch.column(1)):
             doc, value = shingle_sets(texts)
-            at = np.searchsorted(doc, np.arange(b - a + 1))
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([value[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
+            at = np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array(at), pa.array(value.view(np.int64)))], names=["doc_id", "shingles"])
+
+
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles): the whole sets of the documents in ``ids``, built anew."""
+    return staged(texts_of(docs).join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
 
 
 def _likely(batches):
@@ -157,17 +166,26 @@ def _likely(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok)), pa.array(guess[ok])], names=["u", "v", "guess"])
 
 
+def linked(shared, n_a, n_b):
+    """The contract's bound on sets of n_a and n_b shingles that share so many."""
+    return (shared > 0) & (100 * shared >= SIMILAR * (n_a + n_b - shared))
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values and bounds of an Arrow list column."""
+    bounds = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False), bounds
+
+
 def _confirm(batches):
     for batch in batches:
-        ok = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            a, b = np.frombuffer(x, _U), np.frombuffer(y, _U)
-            both = np.concatenate((a, b))
+        (x, at), (y, bt) = _lists(batch.column(2)), _lists(batch.column(3))
+        ok = np.zeros(batch.num_rows, bool)
+        for k in range(batch.num_rows):
+            both = np.concatenate((x[at[k] : at[k + 1]], y[bt[k] : bt[k + 1]]))
             both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            ok.append(100 * shared >= SIMILAR * (len(a) + len(b) - shared) and shared > 0)
-        mask = pa.array(ok, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
+            ok[k] = linked(int((both[1:] == both[:-1]).sum()), at[k + 1] - at[k], bt[k + 1] - bt[k])
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["u", "v"])
 
 
 def likely_pairs(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -179,14 +197,81 @@ def likely_pairs(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets are linked; sets are built anew, for these texts alone."""
+    """The pairs (u, v) whose full sets are linked."""
     pairs = staged(pairs.select("u", "v"), "pairs")
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    full = staged(texts_of(docs).join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
+    full = full_sets(docs, pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct())
     a, b = full.toDF("u", "s_u"), full.toDF("v", "s_v")
     return pairs.join(a, "u").join(b, "v").select("u", "v", "s_u", "s_v").mapInArrow(_confirm, "u long, v long")
 
 
+def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between different components within two blocks, as few as join what they join."""
+    component = rows["component"].to_numpy()
+    size = rows["shingles"].map(len).to_numpy()
+    value = np.concatenate(rows["shingles"].to_list())
+    owner = np.repeat(np.arange(len(rows)), size)
+    _, column, count = np.unique(value, return_inverse=True, return_counts=True)
+    # A shingle of one text is shared by none.
+    common = count > 1
+    number = np.cumsum(common) - 1
+    keep = common[column]
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(rows), len(rows)), np.float32)
+    for start in range(0, int(common.sum()), STRIP):
+        x, y = np.searchsorted(column, (start, start + STRIP))
+        strip = np.zeros((len(rows), min(STRIP, int(common.sum()) - start)), np.float32)
+        strip[owner[x:y], column[x:y] - start] = 1.0
+        shared += strip @ strip.T
+    hit = linked(shared.astype(np.int64), size[:, None], size[None, :]) & (component[:, None] < component[None, :])
+    root = {c: c for c in np.unique(component).tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(hit), strict=True):
+        a, b = find(component[i]), find(component[j])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((a, b))
+    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+
+def links_across(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """Links (between component names) that bands (band, doc_id, component) still allow.
+
+    A text of whose shingles under three quarters occur in a second text of these bands can
+    be linked with none, and is left out.  The rest falls into groups that share bands;
+    every two blocks of a group meet in a task of bounded size, which compares all their
+    texts by one product of incidence matrices and returns a spanning set of links.
+    """
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        several = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+        return rows.join(several, "band", "left_semi")
+
+    left = staged(mixed(placed), "mixed")
+    full = full_sets(docs, left.select("doc_id").distinct())
+    seen = full.select("doc_id", F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
+    alone = seen.where("n = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+    able = full.select("doc_id", F.size("shingles").alias("n")).join(alone, "doc_id", "left").where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= SIMILAR * F.col("n")).select("doc_id")
+    left = staged(mixed(left.join(able, "doc_id", "left_semi")), "able")
+
+    first = left.groupBy("band").agg(F.min("doc_id").alias("u"))
+    group = staged(components(left.join(first, "band").select("u", F.col("doc_id").alias("v"))).withColumnsRenamed({"node": "doc_id", "component": "group"}), "groups")
+    sizes = group.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    member = left.select("doc_id", "component").distinct().join(group, "doc_id").join(sizes, "group")
+    member = member.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component")
+    return dealt.join(full, "doc_id").select("group", "i", "j", "component", "shingles").groupBy("group", "i", "j").applyInPandas(_block_links, "u long, v long")
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id of every row of ``docs``.
 
@@ -197,30 +282,22 @@ def near_components(docs: DataFrame) -> DataFrame:
     classes = signed.where("set_a is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
     member = staged(signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", F.when(F.col("set_a").isNull(), F.col("doc_id"))).alias("class_id")), "members")
     chosen = member.where("n_shingles > 0 and doc_id = class_id").select("doc_id").distinct()
-    signed = staged(signed.join(chosen, "doc_id", "left_semi"), "classes")
+    signed = staged(signed.join(chosen, "doc_id", "left_semi").select("doc_id", "n_shingles", "registers", "bands"), "classes")
 
     keyed = signed.select("doc_id", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center < last").select("band", "center")
-    buckets = staged(keyed.join(shared, "band"), "bands")
+    buckets = staged(keyed.join(shared.hint("merge"), "band"), "bands")
 
     # One centre for each representative: its most alike.
     stars = buckets.where("doc_id > center").select(F.col("center").alias("u"), F.col("doc_id").alias("v")).distinct()
     tried = staged(likely_pairs(stars, signed), "stars")
     best = tried.groupBy("v").agg(F.max_by("u", F.struct("guess", F.negate("u"))).alias("u"))
-    links = staged(confirmed(best, docs), "links")
-    found = staged(components(links), "components")
+    found = staged(components(confirmed(best, docs)), "components")
 
     # Members of a band that are in different components so far.
-    placed = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(signed.select("doc_id", "n_shingles"), "doc_id").select("band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-    placed = staged(placed, "placed")
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    placed = placed.join(mixed, "band", "left_semi")
-    a = placed.toDF("band", "u", "n_u", "c_u")
-    b = placed.toDF("band", "v", "n_v", "c_v")
-    across = a.join(b, "band").where("c_u < c_v").where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * SIMILAR).select("u", "v").distinct()
-    more = confirmed(likely_pairs(staged(across, "across"), signed), docs)
-    edges = found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
-    last = components(edges)
+    placed = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    more = links_across(docs, placed)
+    last = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     out = member.join(last.withColumnRenamed("node", "class_id"), "class_id", "left")
     group = F.coalesce("component", "class_id", "doc_id")
     return out.select("doc_id", "n_shingles", group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"), "class_id")
