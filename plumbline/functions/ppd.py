@@ -47,7 +47,7 @@ def monotone(ppd: Column) -> Column:
 def crosses(ppd: Column) -> Column:
     """Whether some quantile is below the one before it."""
     later = F.slice(ppd, 2, F.greatest(F.size(ppd) - 1, F.lit(0)))
-    return F.exists(F.zip_with(ppd, later, lambda a, b: b - a), lambda d: d < 0)
+    return F.exists(F.zip_with(ppd, later, lambda a, b: b - a), lambda d: F.coalesce(d < 0, F.lit(False)))
 
 
 def quantile_at(ppd: Column, levels: Sequence[float], q: float) -> Column:

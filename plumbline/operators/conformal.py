@@ -93,8 +93,8 @@ def order_statistic(scores: DataFrame, keys: Sequence[str], alpha: float, value:
     """The ceil((n + 1)(1 - alpha))-th smallest score of each cell; infinite beyond n."""
     own = Window.partitionBy(*keys)
     k = F.ceil((F.count(F.lit(1)).over(own) + 1) * F.lit(1.0 - alpha) - 1e-9)
-    placed = scores.withColumns({"place": F.row_number().over(own.orderBy(value)), "k": k})
-    return placed.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("place") == F.col("k"), F.col(value))), F.lit(INF)).alias("threshold"), F.count(F.lit(1)).alias("n_cal"))
+    placed = scores.withColumns({"__place": F.row_number().over(own.orderBy(value)), "__wanted": k})
+    return placed.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("__place") == F.col("__wanted"), F.col(value))), F.lit(INF)).alias("threshold"), F.count(F.lit(1)).alias("n_cal"))
 
 
 def split_conformal(rows: DataFrame, keys: Sequence[str], levels: Sequence[float], alphas: Sequence[float], kind: str = "absolute", pooled: bool = True) -> DataFrame:

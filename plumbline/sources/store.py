@@ -147,7 +147,7 @@ def run_log(spark: SparkSession, records: Sequence[dict], path: str) -> None:
 
 def claim_protocol(spark: SparkSession, root: str, protocol: str, most: int) -> None:
     """Writes a root's sampling protocol once; another one later is an error."""
-    path = f"{root.rstrip('/')}/_protocol"
+    path = f"{root.rstrip('/')}/protocol.json"
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(conf)
