@@ -41,6 +41,8 @@ BAND = 4
 SIMILAR = 75
 #: Texts of a block, and shingles of a strip of its incidence matrix.
 BLOCK, STRIP = 256, 2048
+#: 16 MB or so as a hash table of longs.
+MOST_BROADCAST_IDS = 1_000_000
 #: Candidates whose estimate is lower are not confirmed: five standard errors under 0.75.
 ESTIMATE_FLOOR = 0.75 - 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 _U = np.uint64
@@ -151,7 +153,12 @@ def _sets(batches):
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles): the whole sets of the documents in ``ids``, built anew."""
+    """(doc_id, shingles): the whole sets of the documents in ``ids``, built anew.
+
+    Up to MOST_BROADCAST_IDS ids go to the texts; more are joined by shuffle."""
+    ids = staged(ids, "ids")
+    if ids.count() <= MOST_BROADCAST_IDS:
+        ids = F.broadcast(ids)
     return staged(texts_of(docs).join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
 
 
