@@ -101,7 +101,10 @@ def derive(record: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
     one = lambda x: re.sub(r"\s+", " ", html.unescape(x)).strip()
     fields = [("source-payload-digest", payload_digest), ("source-block-digest", source.get("warc-block-digest") or digest(block)), ("http-status", status)]
     fields += [(f"http-{k.lower()}", v) for k, v in http]
-    fields += [("title", one(title[1]))] * bool(title) + [("language", lang[1])] * bool(lang)
+    if title:
+        fields.append(("title", one(title[1])))
+    if lang:
+        fields.append(("language", lang[1]))
     fields += [("outlink", one(a or b or c)) for a, b, c in _LINK.findall(page)]
     about = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
     text = plain_text(page).encode()
