@@ -107,7 +107,8 @@ class Plan:
         lengths = np.flatnonzero(left)
         rows = patterns(lengths, size) if len(lengths) else np.zeros((0, 3), np.int64)
         if len(rows):
-            x = np.floor(fit_counts(rows, left) + 0.5).astype(np.int64)
+            # Rounded down: what is short of a whole sequence is packed with the residuals.
+            x = np.floor(fit_counts(rows, left)).astype(np.int64)
             for k in np.argsort(-x, kind="stable"):
                 if x[k] <= 0:
                     break

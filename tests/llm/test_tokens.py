@@ -57,7 +57,7 @@ def test_stream_commits(piece):
     model = sentencepiece_viterbi.piece_model(sentencepiece_viterbi.default_model())
     text = "abcdetionrs" * 3000
     got = list(model.stream(text))
-    assert "".join(got) == text and [model.id[p] for p in got] == piece.encode(text)[1:] or True
+    assert "".join(got) == text
     assert np.frombuffer(model.encode(text), "<i4").tolist() == piece.encode(text)
 
 
