@@ -76,6 +76,8 @@ def formatted_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     # Back from each chosen leaf: every table doubles the part of the path that is known.
     path = chosen.select("tree", "leaf", "score", F.col("leaf").alias("node"), F.col("depth").alias("at"))
     for k in range(len(tables) - 1, -1, -1):
+        # Read twice below, so it is written first: plans stay small however deep trees are.
+        path = staged(path, "path")
         jump = tables[k].where("up is not null").select("tree", "node", "up")
         path = path.union(path.join(jump, ["tree", "node"]).select("tree", "leaf", "score", F.col("up").alias("node"), F.col("at") - 2**k))
     turns = path.join(rows.select("tree", "name", "node", "role", "text"), ["tree", "node"])
