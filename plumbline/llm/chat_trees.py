@@ -26,7 +26,6 @@ from .common import staged
 
 OPEN, ROLE_END, CLOSE = "<turn ", ">", "</turn>\n"
 LOSS_ROLE = "assistant"
-MOST_ROUNDS = 40
 
 
 def escaped(x: Column) -> Column:
@@ -48,13 +47,16 @@ def ancestors(nodes: DataFrame) -> list[DataFrame]:
     real = nodes.select(F.col("tree"), F.col("node").alias("parent"), F.lit(True).alias("there")).distinct()
     first = nodes.join(real, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
     tables = [staged(first, "up")]
-    for _ in range(MOST_ROUNDS):
+    # No path is longer than the number of nodes.
+    for _ in range(nodes.count().bit_length() + 1):
         now = tables[-1]
-        if now.where("up is not null").isEmpty():
+        # Nodes that have reached their root take no part in further joins.
+        active = now.where("up is not null")
+        if active.isEmpty():
             return tables
         above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("further"))
-        step = now.join(above, ["tree", "up"], "left").select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"))
-        tables.append(staged(step, "up"))
+        step = active.join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("further")).alias("depth"))
+        tables.append(staged(step.union(now.where("up is null")), "up"))
     raise ValueError("parents form a cycle")
 
 
