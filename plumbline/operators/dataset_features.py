@@ -2,7 +2,7 @@
 
 Column-wise features are aggregates over (keys, feature, value) rows, so any number of
 columns is one job; those that need whole matrices (neighbours, trees, singular values)
-run in numpy on one dataset, whose rows are bounded by the experiment's row cap.
+run in numpy on all rows of one dataset.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distributions
+from ..functions.neighbours import nearest
 from ..functions.scalar import correlation, finite, ratio
 from .tables import average_rank
 
@@ -262,9 +263,9 @@ def _matrix_features(x: np.ndarray, y: np.ndarray, seed: int) -> dict:
     singular = np.linalg.svd(z, compute_uv=False)
     share = np.cumsum(singular**2) / max(float((singular**2).sum()), 1e-300)
     k = min(5, n - 1)
-    near, far = _knn(z, k)
+    near, far = nearest(z, z, k, own=True)
     mixed = np.column_stack([rng.permutation(z[:, j]) for j in range(z.shape[1])])
-    null = _knn(mixed, k)[1].mean()
+    null = nearest(mixed, mixed, k, own=True)[1].mean()
     local = np.abs(y - y[near].mean(1))
     return {
         "tree_depth": float(depth.max()), "tree_depth_cv": float(depth.std() / depth.mean()) if depth.mean() else 0.0, "tree_imbalance": float(size.max() / size.mean()), "tree_leaves": float(len(size)),
@@ -275,21 +276,24 @@ def _matrix_features(x: np.ndarray, y: np.ndarray, seed: int) -> dict:
     }
 
 
-def matrix_features(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], y: str = "y", seed: int = 0, most_rows: int = 2000) -> DataFrame:
-    """Tree, shrinkage, neighbour and singular-value features, on the first ``most_rows`` rows
-    of a dataset by hash, as the feature definition asks (its row cap is a parameter)."""
+def matrix_features(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], y: str = "y", seed: int = 0, most_rows: int | None = None) -> DataFrame:
+    """Tree, shrinkage, neighbour and singular-value features of all rows of a dataset, or of its
+    first ``most_rows`` by hash where a cap is given (the reference's is 10,000)."""
     probe = _matrix_features(np.random.default_rng(0).normal(size=(12, 2)), np.arange(12.0), 0)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
     names = list(keys)
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values(["__h", *columns, "__y"], kind="stable")
         x, t = cell[list(columns)].to_numpy(float), cell["__y"].to_numpy(float)
         ok = np.isfinite(x).all(1) & np.isfinite(t)
         made = _matrix_features(x[ok], t[ok], seed) if ok.sum() >= 10 else dict.fromkeys(probe)
         return pd.DataFrame([{k: cell[k].iloc[0] for k in names} | made]).astype({k: "float64" for k in probe})
 
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64(*columns, y), *columns, y)
-    own = rows.select(*keys, *(F.col(c).cast("double").alias(c) for c in columns), F.col(y).cast("double").alias("__y"), F.row_number().over(order).alias("__k")).where(F.col("__k") <= most_rows).drop("__k")
+    own = rows.select(*keys, *(F.col(c).cast("double").alias(c) for c in columns), F.col(y).cast("double").alias("__y"), F.xxhash64(*columns, y).alias("__h"))
+    if most_rows is not None:
+        order = Window.partitionBy(*keys).orderBy("__h", *columns, "__y")
+        own = own.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= most_rows).drop("__k")
     return own.groupBy(*keys).applyInPandas(run, fields + "".join(f", {k} double" for k in probe))
 
 

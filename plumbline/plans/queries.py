@@ -800,7 +800,7 @@ def x_cluster_structure(spark, d):
 
 @register()
 def x_matrix_features(spark, d):
-    return dataset_features.matrix_features(reg_panel(spark, d).where("seed = 0"), ["dataset_id"], _COLS, most_rows=500)
+    return dataset_features.matrix_features(reg_panel(spark, d), ["dataset_id", "seed"], _COLS)
 
 
 @register()
