@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ppd
+from ..functions.neighbours import nearest
 from ..functions.scalar import finite, ratio
 
 
@@ -98,13 +99,15 @@ _DISTANCES = ("knn_1", "knn_5", "knn_10", "knn_5_norm", "local_y_sd", "local_y_r
 
 
 def distance_features(test: DataFrame, context: DataFrame, keys: Sequence[str], columns: Sequence[str], y: str = "y", seed: int = 0) -> DataFrame:
-    """How far each test row lies from its dataset's context; one numpy task a dataset."""
+    """How far each test row lies from its dataset's context; one numpy task a cell of
+    the keys, with the distances in blocks."""
     names = list(keys)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in test.select(*keys, "row_pos").schema)
     # Aliases give both sides columns of their own, as they may come from one table.
     side = lambda df: df.select(*(F.col(k).alias(k) for k in (*keys, "row_pos")), *(F.coalesce(finite(F.col(c)), F.lit(0.0)).alias(c) for c in columns), F.col(y).cast("double").alias("__y"))
 
     def run(own: pd.DataFrame, ctx: pd.DataFrame) -> pd.DataFrame:
+        own, ctx = (x.sort_values("row_pos", kind="stable") for x in (own, ctx))
         out = own[[*names, "row_pos"]].copy()
         if len(ctx) < 3 or not len(own):
             for c in _DISTANCES:
@@ -115,20 +118,16 @@ def distance_features(test: DataFrame, context: DataFrame, keys: Sequence[str],
         scale = np.where(sd > 1e-12, sd, np.inf)
         mean = fit.mean(0)
         a, b = (own[list(columns)].to_numpy(float) - mean) / scale, (fit - mean) / scale
-        d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
-        order = np.argsort(d, 1, kind="stable")
-        ranked = np.take_along_axis(d, order, 1)
-        dist = lambda k: ranked[:, : min(k, ranked.shape[1])].mean(1)
         k = min(5, len(ctx) - 1)
-        inner = np.sqrt(np.maximum((b * b).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * b @ b.T, 0))
-        np.fill_diagonal(inner, np.inf)
-        near = np.argsort(inner, 1, kind="stable")[:, :k]
-        reach_of = np.take_along_axis(inner, near, 1)[:, -1]
-        lrd = 1 / np.maximum(np.maximum(np.take_along_axis(inner, near, 1), reach_of[near]).mean(1), 1e-12)
+        order, ranked = nearest(b, a, 10)
+        dist = lambda k: ranked[:, :k].mean(1)
+        near, inner = nearest(b, b, k, own=True)
+        reach_of = inner[:, -1]
+        lrd = 1 / np.maximum(np.maximum(inner, reach_of[near]).mean(1), 1e-12)
         mine = order[:, :k]
         own_lrd = 1 / np.maximum(np.maximum(ranked[:, :k], reach_of[mine]).mean(1), 1e-12)
         local = ctx["__y"].to_numpy()[mine]
-        typical = max(float(np.take_along_axis(inner, near, 1).mean()), 1e-12)
+        typical = max(float(inner.mean()), 1e-12)
         values = (dist(1), dist(5), dist(10), dist(5) / typical, local.std(1), np.ptp(local, 1), 1 / np.maximum(dist(5), 1e-12), _robust_mahalanobis(b, a), _isolation(b, a, np.random.default_rng(seed)), lrd[mine].mean(1) / own_lrd)
         for c, v in zip(_DISTANCES, values, strict=True):
             out[c] = v

@@ -836,8 +836,8 @@ def j_neighbours(spark, d):
 
 @register()
 def i_distance_features(spark, d):
-    rows = reg_panel(spark, d).where("seed = 0 and model = 'A'")
-    return instance_features.distance_features(rows.where(regression.in_second_half()), rows.where(~regression.in_second_half()), ["dataset_id"], _COLS)
+    rows = reg_panel(spark, d)
+    return instance_features.distance_features(rows.where(regression.in_second_half()), rows.where(~regression.in_second_half()), KEYS, _COLS)
 
 
 # --------------------------------------------------------------------------- preparation, validation, selection
