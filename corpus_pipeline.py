@@ -32,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the sentences of repeated runs; n_chars follows the text."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = substring_dedup.substring_dedup(docs, carry=others)
+    cut = substring_dedup.substring_dedup(docs, carry=others, closing=True)
     made = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
     made |= {c: F.col(f"carry_{k}") for k, c in enumerate(others)}
     return cut.select(*(made[c].alias(c) for c in docs.columns))

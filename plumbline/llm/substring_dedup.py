@@ -2,7 +2,10 @@
 
 Every run of consecutive sentences that just reaches MIN_WORDS words is hashed, joined
 over all documents, and the sentences of every run but the first of its kind are
-removed.  The first is that of the smallest (doc_id, place).
+removed.  The first is that of the smallest (doc_id, place).  With ``closing``, as in the
+query, so are the runs that just reach MIN_WORDS words backwards from each closing sentence:
+a passage is removed up to its last sentence.  Such a run starts with a run of the first kind, which repeats
+where it does; what follows that is its tail, and only tails of repeated runs are compared.
 
 A sentence ends after a word that ends in ``. ! ?``, at a line feed, and before a word
 that starts with a capital, so a pasted passage starts a sentence wherever it lies.
@@ -58,6 +61,23 @@ def runs(w: Words, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.nd
     return start[same], last[same] + 1
 
 
+def tails(w: Words, first: np.ndarray, start: np.ndarray, stop: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which run, index after the last sentence) of each longer run from the start of a run
+    that is the shortest to end where it ends."""
+    end = np.append(first[1:], len(w.start))
+    begin = np.searchsorted(first, end - min_words, side="right") - 1
+    last = np.arange(len(first))
+    begin = begin - ((begin == last) & (end - first < 2 * min_words))
+    ok = begin >= 0
+    begin, last = begin[ok], last[ok]
+    same = w.doc[first[begin]] == w.doc[first[last]]
+    begin, last = begin[same], last[same]
+    # Starts do not fall with the closing sentence, so tails come in the order of runs.
+    which = np.searchsorted(start, begin)
+    longer = last + 1 > stop[which]
+    return which[longer], last[longer] + 1
+
+
 def _run_hashes(w: Words, from_word: np.ndarray, to_word: np.ndarray, which: int) -> np.ndarray:
     up, down = _powers(BASES[which], len(w.start) + 1)
     run = np.zeros(len(w.start) + 1, _U)
@@ -65,8 +85,9 @@ def _run_hashes(w: Words, from_word: np.ndarray, to_word: np.ndarray, which: int
     return mix64((run[to_word] - run[from_word]) * down[from_word] + (to_word - from_word).astype(_U))
 
 
-def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, at, n, h1, h2): the runs of every text, by sentence."""
+def spans(docs: DataFrame, min_words: int = MIN_WORDS, closing: bool = False) -> DataFrame:
+    """(doc_id, at, n, h1, h2, longer, rest): the runs of every text, by sentence, with the
+    sentences and hashes of their tails if ``closing``."""
 
     def run(batches):
         for batch in batches:
@@ -80,17 +101,29 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 doc = w.doc[first[start]]
                 at = start - np.searchsorted(first, w.first)[doc]
                 hashes = [pa.array(_run_hashes(w, words[start], words[stop], k).view(np.int64)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + a)), pa.array(at.astype(np.int32)), pa.array((stop - start).astype(np.int32)), *hashes], names=["doc_id", "at", "n", "h1", "h2"])
+                which, beyond = tails(w, first, start, stop, min_words) if closing else (start[:0], stop[:0])
+                offsets = pa.array(np.searchsorted(which, np.arange(len(start) + 1)).astype(np.int32))
+                rest = _run_hashes(w, words[stop[which]], words[beyond], 0).view(np.int64)
+                longer = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((beyond - start[which]).astype(np.int32), rest)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + a)), pa.array(at.astype(np.int32)), pa.array((stop - start).astype(np.int32)), *hashes, *longer], names=["doc_id", "at", "n", "h1", "h2", "longer", "rest"])
 
-    return texts_of(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, at int, n int, h1 long, h2 long")
+    return texts_of(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, at int, n int, h1 long, h2 long, longer array<int>, rest array<long>")
 
 
 def covered(found: DataFrame) -> DataFrame:
     """(doc_id, gone): for each document the runs whose sentences are removed."""
     place = F.struct("doc_id", "at")
-    repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("h1", "h2", "first")
-    later = found.join(repeated, ["h1", "h2"]).where(place > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("gone"))
+
+    def repeated(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(*by, "first")
+
+    runs_of = ["h1", "h2"]
+    again = found.join(repeated(found, runs_of), runs_of).withColumn("later", place > F.col("first"))
+    again = staged(again.where("later or size(rest) > 0").select("doc_id", "at", "n", *runs_of, "later", "longer", "rest"), "repeated")
+    tail = again.select("doc_id", "at", *runs_of, F.explode(F.arrays_zip("longer", "rest")).alias("t")).select("doc_id", "at", *runs_of, F.col("t.longer").alias("n"), F.col("t.rest").alias("rest"))
+    later = tail.join(repeated(tail, [*runs_of, "rest"]), [*runs_of, "rest"]).where(place > F.col("first"))
+    gone = again.where("later").select("doc_id", "at", "n").union(later.select("doc_id", "at", "n"))
+    return gone.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("gone"))
 
 
 def _remove(batches):
@@ -118,12 +151,13 @@ def _remove(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.binary()).cast(pa.string()), pa.array(count.astype(np.int64)), pa.array(removed), *[c.slice(a, b - a) for c in batch.columns[3:]]], names=["doc_id", "text", "n_sentences", "n_removed", *batch.schema.names[3:]])
 
 
-def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, carry: list[str] | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, carry: list[str] | None = None, closing: bool = False) -> DataFrame:
     """doc_id, text without repeats, n_sentences, n_removed of every row of ``docs``.
 
     ``carry``: further columns to hand through, as ``carry_<position>``.
+    ``closing``: passages are removed up to their last sentence, and not to their last run's.
     """
-    found = staged(spans(docs, min_words), "spans")
+    found = staged(spans(docs, min_words, closing), "spans")
     gone = covered(found)
     more = [F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry or [])]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
