@@ -24,10 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, Words, _powers, mix64, pieces_of, staged, texts_of
+from .common import Words, pieces_of, run_hashes, staged, texts_of
 
 MIN_WORDS = 25
-_U = np.uint64
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 
@@ -79,10 +78,7 @@ def tails(w: Words, first: np.ndarray, start: np.ndarray, stop: np.ndarray, min_
 
 
 def _run_hashes(w: Words, from_word: np.ndarray, to_word: np.ndarray, which: int) -> np.ndarray:
-    up, down = _powers(BASES[which], len(w.start) + 1)
-    run = np.zeros(len(w.start) + 1, _U)
-    np.cumsum(w.hashes(which) * up[: len(w.start)], out=run[1:])
-    return mix64((run[to_word] - run[from_word]) * down[from_word] + (to_word - from_word).astype(_U))
+    return run_hashes(w.hashes(which), from_word, to_word, which)
 
 
 def spans(docs: DataFrame, min_words: int = MIN_WORDS, closing: bool = False) -> DataFrame:
