@@ -10,7 +10,8 @@ where it does; what follows that is its tail, and only tails of repeated runs ar
 A sentence ends after a word that ends in ``. ! ?``, at a line feed, and before a word
 that starts with a capital, so a pasted passage starts a sentence wherever it lies.
 A run has two sentences at least; one of 2 * MIN_WORDS words is a run alone.  Runs
-are equal when their words are (128-bit hashes); white space between does not count.
+are equal when their words are (two 61-bit hashes, polynomials modulo a prime over 64-bit
+hashes of the words); white space between does not count.
 
 Rules: null text counts as empty.  Rows that share a doc_id are one document: a run is
 first in all of them or in none.  Rows without a doc_id are neither compared nor
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,17 +79,50 @@ def tails(w: Words, first: np.ndarray, start: np.ndarray, stop: np.ndarray, min_
     return which[longer], last[longer] + 1
 
 
-def _run_hashes(w: Words, from_word: np.ndarray, to_word: np.ndarray, which: int) -> np.ndarray:
-    return run_hashes(w.hashes(which), from_word, to_word, which)
+_OCCURRENCE = np.dtype([("doc_id", "<i8"), ("at", "<i4"), ("n", "<i4")])
+_TAIL = np.dtype([("k", "<i4"), ("longer", "<i4"), ("rest", "<i8")])
+_FOUND = "block long, h1 long, h2 long, doc_id long, at int, several boolean, runs binary, tails binary"
+
+
+def _binary(records: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Consecutive records as one binary value for each pair of bounds."""
+    ends = (bounds * records.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(records).tobytes())])
+
+
+def _records(column, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The records of a binary column, and the bounds of each value among them."""
+    raw = column.to_pylist()
+    bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // dtype.itemsize)))
+    return np.frombuffer(b"".join(raw), dtype), bounds
+
+
+def _gathered(keys: list[np.ndarray], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """Occurrences grouped by equal keys: their order, the bounds of the groups, and the
+    columns doc_id and at of each group's first, whether it has another place, and all."""
+    order = np.lexsort((seen["at"], seen["doc_id"], *keys[::-1]))
+    own = seen[order]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    begin = np.flatnonzero(new)
+    bounds = np.append(begin, len(order))
+    first, last = own[begin], own[bounds[1:] - 1]
+    several = (first["doc_id"] != last["doc_id"]) | (first["at"] != last["at"])
+    return order, bounds, [pa.array(first["doc_id"]), pa.array(first["at"]), pa.array(several), _binary(own, bounds)]
 
 
 def spans(docs: DataFrame, min_words: int = MIN_WORDS, closing: bool = False) -> DataFrame:
-    """(doc_id, at, n, h1, h2, longer, rest): the runs of every text, by sentence, with the
-    sentences and hashes of their tails if ``closing``."""
+    """A row for each different run of a block of texts: its hash (h1, h2), the first place
+    (doc_id, at) of the block that has it, whether the block has it at several places, all its
+    ``runs`` there, and their ``tails`` if ``closing``.
+
+    A block is about SCAN_BYTES of text, one text at least; its name is the number of its
+    task and its own.  A run that many texts share costs one row a block."""
 
     def run(batches):
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids = batch.column(0)
+            ids = batch.column(0).to_numpy()
             for a, _, texts in pieces_of(batch.column(1)):
                 w, first = sentences(texts)
                 start, stop = runs(w, first, min_words)
@@ -95,31 +130,88 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS, closing: bool = False) ->
                     continue
                 words = np.append(first, len(w.start))
                 doc = w.doc[first[start]]
-                at = start - np.searchsorted(first, w.first)[doc]
-                hashes = [pa.array(_run_hashes(w, words[start], words[stop], k).view(np.int64)) for k in (0, 1)]
+                lanes = [w.hashes(k) for k in (0, 1)]
+                seen = np.empty(len(start), _OCCURRENCE)
+                seen["doc_id"], seen["at"], seen["n"] = ids[doc + a], start - np.searchsorted(first, w.first)[doc], stop - start
+                h = [run_hashes(lanes[k], words[start], words[stop], k).view(np.int64) for k in (0, 1)]
+                order, bounds, columns = _gathered(h, seen)
                 which, beyond = tails(w, first, start, stop, min_words) if closing else (start[:0], stop[:0])
-                offsets = pa.array(np.searchsorted(which, np.arange(len(start) + 1)).astype(np.int32))
-                rest = _run_hashes(w, words[stop[which]], words[beyond], 0).view(np.int64)
-                longer = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((beyond - start[which]).astype(np.int32), rest)]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + a)), pa.array(at.astype(np.int32)), pa.array((stop - start).astype(np.int32)), *hashes, *longer], names=["doc_id", "at", "n", "h1", "h2", "longer", "rest"])
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                # Tails in the order of the gathered runs they go on from.
+                by = np.argsort(place[which], kind="stable")
+                which, beyond = which[by], beyond[by]
+                group = np.searchsorted(bounds, place[which], "right") - 1
+                more = np.empty(len(which), _TAIL)
+                more["k"], more["longer"] = place[which] - bounds[group], beyond - start[which]
+                more["rest"] = run_hashes(lanes[0], words[stop[which]], words[beyond]).view(np.int64)
+                at = order[bounds[:-1]]
+                columns = [pa.array(np.full(len(at), block)), *(pa.array(x[at]) for x in h), *columns, _binary(more, np.searchsorted(group, np.arange(len(bounds))))]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _FOUND.split(", ")])
+                block += 1
+
+    return texts_of(docs).where("doc_id is not null").mapInArrow(run, _FOUND)
 
-    return texts_of(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, at int, n int, h1 long, h2 long, longer array<int>, rest array<long>")
+
+_LONGER = "block long, h1 long, h2 long, rest long, doc_id long, at int, several boolean, runs binary"
+
+
+def _longer(batches):
+    """The tails of repeated runs as runs of their own, gathered like those."""
+    for batch in batches:
+        seen, first = _records(batch.column(3), _OCCURRENCE)
+        more, bounds = _records(batch.column(4), _TAIL)
+        if not len(more):
+            continue
+        row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+        own = seen[first[row] + more["k"]]
+        own["n"] = more["longer"]
+        order, ends, columns = _gathered([row, more["rest"]], own)
+        at = order[ends[:-1]]
+        keys = [batch.column(k).take(pa.array(row[at])) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(more["rest"][at]), *columns], names=[x.split()[0] for x in _LONGER.split(", ")])
+
+
+def _merged(rows: pa.Table) -> pa.Table:
+    """The stretches (at, n) of each document of a block that its later runs cover."""
+    rows = rows.combine_chunks()
+    seen, bounds = _records(rows["runs"], _OCCURRENCE)
+    row = np.repeat(np.arange(rows.num_rows), np.diff(bounds))
+    first_doc, first_at = rows["first_doc"].to_numpy()[row], rows["first_at"].to_numpy()[row]
+    seen = seen[(seen["doc_id"] > first_doc) | (seen["doc_id"] == first_doc) & (seen["at"] > first_at)]
+    seen = seen[np.lexsort((seen["at"], seen["doc_id"]))]
+    ids, doc = np.unique(seen["doc_id"], return_inverse=True)
+    begin = doc.astype(np.int64) << 32 | seen["at"]
+    reach = np.maximum.accumulate(begin + seen["n"])
+    new = np.ones(len(seen), bool)
+    new[1:] = begin[1:] > reach[:-1]
+    start = np.flatnonzero(new)
+    stop = np.append(start, len(seen))[1:] - 1
+    offsets = pa.array(np.searchsorted(doc[start], np.arange(len(ids) + 1)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (seen["at"][start], reach[stop] - begin[start])]
+    return pa.table([pa.array(ids), *lists], names=["doc_id", "at", "n"])
 
 
 def covered(found: DataFrame) -> DataFrame:
-    """(doc_id, gone): for each document the runs whose sentences are removed."""
+    """(doc_id, gone): for each document the stretches of sentences that are removed.
+
+    Nothing is joined run by run: a hash that is repeated meets the rows of its blocks, and
+    each block's rows, which are as many as its texts have runs at most, are then merged."""
     place = F.struct("doc_id", "at")
 
     def repeated(rows: DataFrame, by: list[str]) -> DataFrame:
-        return rows.groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(*by, "first")
+        summed = rows.groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("several").alias("several"))
+        return staged(summed.where("several or first < last").select(*by, F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at")), "hashes")
 
     runs_of = ["h1", "h2"]
-    again = found.join(repeated(found, runs_of), runs_of).withColumn("later", place > F.col("first"))
-    again = staged(again.where("later or size(rest) > 0").select("doc_id", "at", "n", *runs_of, "later", "longer", "rest"), "repeated")
-    tail = again.select("doc_id", "at", *runs_of, F.explode(F.arrays_zip("longer", "rest")).alias("t")).select("doc_id", "at", *runs_of, F.col("t.longer").alias("n"), F.col("t.rest").alias("rest"))
-    later = tail.join(repeated(tail, [*runs_of, "rest"]), [*runs_of, "rest"]).where(place > F.col("first"))
-    gone = again.where("later").select("doc_id", "at", "n").union(later.select("doc_id", "at", "n"))
-    return gone.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("gone"))
+    again = staged(found.select("block", *runs_of, "runs", "tails").join(repeated(found, runs_of), runs_of).select("block", *runs_of, "runs", "tails", "first_doc", "first_at"), "repeated")
+    longer = staged(again.select("block", *runs_of, "runs", "tails").mapInArrow(_longer, _LONGER), "longer")
+    keys = [*runs_of, "rest"]
+    later = longer.select("block", *keys, "runs").join(repeated(longer, keys), keys)
+    names = ["block", "runs", "first_doc", "first_at"]
+    merged = again.select(*names).union(later.select(*names)).groupBy("block").applyInArrow(_merged, "doc_id long, at array<int>, n array<int>")
+    # Rows that share a doc_id may lie in several blocks.
+    return merged.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("gone"))
 
 
 def _remove(batches):
@@ -137,7 +229,8 @@ def _remove(batches):
                 if cuts:
                     drop = np.zeros(count[k], bool)
                     for x in cuts:
-                        drop[x["at"] : x["at"] + x["n"]] = True
+                        for at, n in zip(x["at"], x["n"], strict=True):
+                            drop[at : at + n] = True
                     edge = byte[base[k] : base[k + 1]] - w.at[k]
                     stop = np.append(edge[1:], len(text))
                     kept = [text[edge[i] : stop[i]] for i in np.flatnonzero(~drop)]
@@ -154,7 +247,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, carry: list[str
     ``closing``: passages are removed up to their last sentence, and not to their last run's.
     """
     found = staged(spans(docs, min_words, closing), "spans")
-    gone = covered(found)
+    gone = staged(covered(found), "gone")
     more = [F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry or [])]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
     joined = own.join(gone, "doc_id", "left")
