@@ -52,15 +52,50 @@ def test_decode_anything(piece, ids):
     assert sentencepiece_viterbi.piece_model(sentencepiece_viterbi.default_model()).decode(ids) == piece.decode(ids)
 
 
-def test_stream_commits(piece):
-    """A text without blanks is committed piece by piece, from a bounded window."""
-    model = sentencepiece_viterbi.piece_model(sentencepiece_viterbi.default_model())
-    text = "abcdetionrs" * 3000
-    got = list(model.stream(text))
-    assert "".join(got) == text
+@pytest.mark.parametrize("text", ["abcdetionrs" * 3000, "x" * 5000, "ananas" * 500, "漢字😀" * 300, "the" * 2000])
+def test_stream_commits(piece, text):
+    """A text without blanks goes through a window of the longest piece, whatever its length,
+    and ids are committed on the way."""
+    model = sentencepiece_viterbi.PieceModel(sentencepiece_viterbi.default_model())
+    committed = []
+
+    class Seen(list):
+        def __iadd__(self, more):
+            committed.append(list(more))
+            return super().__iadd__(committed[-1])
+
+    window, out = [[0, "", None, 0.0]], Seen()
+    model._run(text, window, out)
+    assert len(window) <= model.widest <= model.longest
+    pending = len(text) - sum(map(len, out))
+    assert len(committed) > len(text) / 100 and pending < 10 * model.longest
+    assert "".join(model.stream(text)) == text
     assert np.frombuffer(model.encode(text), "<i4").tolist() == piece.encode(text)
 
 
+def test_query_goes_through_the_window(piece):
+    """Every stretch of every text runs through the pass; texts of all lengths alike."""
+    import pyarrow.parquet as pq
+
+    model = sentencepiece_viterbi.PieceModel(sentencepiece_viterbi.default_model())
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
+    raw = model.encode_many(texts)
+    assert model.ran == len(model.stretches) > 1000 and 0 < model.widest <= model.longest
+    assert [np.frombuffer(x, "<i4").tolist() for x in raw] == piece.encode(texts)
+    again = model.ran
+    assert model.encode_many(texts) == raw and model.ran == again
+
+
+def test_memory_bound(piece, monkeypatch):
+    """What does not fit is encoded each time, with the same ids."""
+    monkeypatch.setattr(sentencepiece_viterbi, "MEMORY", 20_000)
+    model = sentencepiece_viterbi.PieceModel(sentencepiece_viterbi.default_model())
+    texts = [f"word{k} other{k % 7} and a third, {k * 7919}" for k in range(300)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<i4").tolist() for x in model.encode_many(texts)] == piece.encode(texts)
+    assert model.held <= 20_000 + 200 and len(model.stretches) < 100
+
+
 def test_unigram_stream():
     """The best path of a small unigram model, against all segmentations."""
     import itertools
@@ -69,6 +104,7 @@ def test_unigram_stream():
     model.kind = 1
     model.score = {"a": -1.0, "b": -1.2, "ab": -1.9, "ba": -2.5, "aba": -2.6, "bb": -3.0}
     model.suffixes = {p[k:]: False for p in model.score for k in range(1, len(p))} | model.score
+    model.prefixes = {p[:k] for p in model.score for k in range(1, len(p))}
     model.longest, model.floor = 3, -20.0
     for word in map("".join, itertools.product("ab", repeat=9)):
         best = None
@@ -87,6 +123,11 @@ def test_encode_frames(spark, hard, nothing):
     both = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(hard))
     bad = both.where((F.col("decoded") != F.coalesce("text", F.lit(""))) & ~F.col("text").contains("▁"))
     assert both.count() == hard.count() and bad.count() == 0
+    # Columns that have the results' names already are replaced.
+    clash = hard.withColumnsRenamed({"kept": "ids", "bucket": "Decoded"})
+    both = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(clash, check_col="ok"))
+    assert both.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids", "ok", "decoded"]
+    assert both.where("ok <> (decoded = coalesce(text, ''))").count() == 0 and both.where("not ok and text not like '%▁%'").count() == 0
     assert sentencepiece_viterbi.encode(nothing).count() == 0
 
 
