@@ -98,6 +98,7 @@ class PieceModel:
         self.score = {p: s for p, s, kind in pieces if kind == 1}
         self.unknown = next(i for i, x in enumerate(pieces) if x[2] == 2)
         self.byte_id = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == 6}
+        self.blank_led = {i for i, (p, _, kind) in enumerate(pieces) if kind != 6 and (p[0] == BLANK or kind == 2)}
         self.longest = max(map(len, self.id))
         self.suffixes: dict[str, float | bool] = {p[k:]: False for p in self.id for k in range(1, len(p))} | self.score
         self.floor = min(self.score.values()) - 10.0
@@ -300,8 +301,12 @@ class PieceModel:
         return out
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "plumbline_each_byte")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        """The text of ids; the blank that encoding put before it goes, a byte piece's stays."""
+        own = self.bytes
+        text = b"".join(map(own.__getitem__, ids)).decode("utf-8", "plumbline_each_byte")
+        if self.prefix and text[:1] == " " and next(i for i in ids if own[i]) in self.blank_led:
+            return text[1:]
+        return text
 
 
 _HELD: dict[str, PieceModel] = {}

@@ -17,6 +17,8 @@ _ODD = re.compile("[\t\x0b\x0c\r\x85\xa0  -     　]")
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Remembered chunks of a Python worker, about 0.25 kB each; more are encoded each time.
 MEMORY, LONGEST = 250_000, 48
+#: The special token of the public vocabulary (fixed values).
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Two white spaces together, in texts that have no odd ones.
 _DOUBLE = ("  ", " \n", "\n ", "\n\n")
 
@@ -38,7 +40,7 @@ class _Memo(dict):
 
 
 class ByteBpe:
-    """Ids of the byte-level BPE whose ranks are in ``path``; special tokens in a text are ordinary text."""
+    """Ids of the byte-level BPE whose ranks are in ``path``."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
@@ -53,7 +55,7 @@ class ByteBpe:
         return np.array(self.ordinary(text), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        """The ids, little-endian unsigned 32-bit."""
+        """The ids, little-endian unsigned 32-bit; a special token's string is ordinary text."""
         if not text:
             return b""
         if _ODD.search(text):
@@ -63,6 +65,12 @@ class ByteBpe:
             return self._raw(words[0]) + b"".join(map(self.words.__getitem__, words[1:]))
         return b"".join(map(self.chunks.__getitem__, _CHUNK.findall(text)))
 
+    def encode_special(self, text: str) -> bytes:
+        """The ids that the public library gives, where a special token's string is that token."""
+        if SPECIAL not in text:
+            return self.encode(text)
+        return np.array([SPECIAL_ID], "<u4").tobytes().join(map(self.encode, text.split(SPECIAL)))
+
 
 _HELD: dict[tuple, ByteBpe] = {}
 

@@ -30,6 +30,24 @@ def test_byte_bpe(public, text):
     assert np.frombuffer(byte_bpe(*default_vocabulary()).encode(text), "<u4").tolist() == public(text)
 
 
+SPECIALS = st.lists(TEXTS | st.just("<|endoftext|>") | st.just("<|endoftext|"), max_size=6).map("".join)
+
+
+@pytest.fixture(scope="module")
+def plainly():
+    """Run as the contract of op7 says: special tokens in a text are read."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda text: t.encode(text, add_special_tokens=False).ids
+
+
+@given(SPECIALS)
+@settings(max_examples=300, deadline=None)
+def test_byte_bpe_special(plainly, text):
+    assert np.frombuffer(byte_bpe(*default_vocabulary()).encode_special(text), "<u4").tolist() == plainly(text)
+
+
 @pytest.fixture(scope="module")
 def piece():
     import sentencepiece
@@ -46,7 +64,7 @@ def test_pieces(piece, text):
     assert model.decode(ids) == piece.decode(ids)
 
 
-@given(st.lists(st.integers(3, 31_999) | st.integers(3, 258), max_size=30))
+@given(st.lists(st.integers(3, 31_999) | st.integers(3, 258) | st.just(35), max_size=30))
 @settings(max_examples=200, deadline=None)
 def test_decode_anything(piece, ids):
     assert sentencepiece_viterbi.piece_model(sentencepiece_viterbi.default_model()).decode(ids) == piece.decode(ids)
@@ -162,13 +180,13 @@ def test_read_flat(spark, tmp_path):
     assert sorted((r["n_tokens"], r["closed"]) for r in token_counts.scan(blocks, end=0).collect()) == [(1, False), (1, True), (2, True)]
 
 
-def test_packing(spark, hard, nothing, public):
+def test_packing(spark, hard, nothing, plainly):
     got = packing.pack(hard, with_ids=True).toPandas()
     assert got.groupby("sequence_id").length.sum().max() <= 1024
     own = got.sort_values(["sequence_id", "offset"])
     assert (own.groupby("sequence_id").length.cumsum() - own.length == own.offset).all()
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got.itertuples())
-    want = {i: public(t or "") + [2] for (i, t) in {(r["doc_id"], r["text"]) for r in hard.collect()} if i is not None}
+    want = {i: plainly(t or "") + [2] for (i, t) in {(r["doc_id"], r["text"]) for r in hard.collect()} if i is not None}
     for i, ids in want.items():
         mine = got[got.doc_id == i].sort_values("piece")
         if i != 2:  # a repeated row is packed twice
@@ -197,3 +215,27 @@ def test_plan_is_tight():
     plan = packing.Plan(histogram)
     # Uniform lengths: about as many are over half a sequence as sequences are needed.
     assert plan.sequences <= -(-int((np.arange(1025) * histogram).sum()) // 1024) * 1.006
+
+
+def test_patterns_place_most():
+    """Patterns place most pieces of a large histogram, and cost no sequence."""
+    rng = np.random.default_rng(2)
+    histogram = np.bincount(np.minimum(rng.geometric(1 / 300, 200_000), 1024), minlength=1025)
+    plan = packing.Plan(histogram)
+    short = histogram.copy()
+    short[1024] = 0
+    assert plan.by_pattern > 0.3 * short.sum()
+    assert plan.sequences <= histogram[1024] + sum(n for _, n in packing.best_fit(short, 1024))
+
+
+def test_fit_is_least_squares():
+    """No feasible direction is left: the gradient is nil where a count is positive and not
+    positive elsewhere."""
+    rng = np.random.default_rng(3)
+    histogram = np.bincount(rng.integers(1, 32, 5_000), minlength=33)
+    rows = packing.patterns(np.flatnonzero(histogram), 32)
+    x = packing.fit_counts(rows, histogram)
+    use = rows > 0
+    residual = histogram - np.bincount(rows.ravel(), (x[:, None] * use).ravel(), 33)
+    gradient = (residual[rows] * use).sum(1)
+    assert (x >= 0).all() and abs(gradient[x > 0]).max() < 1e-3 and gradient[x == 0].max() < 1.0
