@@ -37,10 +37,45 @@ def test_exact(hard, nothing):
 
 
 def test_history(spark):
-    old = spark.createDataFrame([(5, "a"), (6, "a"), (1, "b")], "doc_id long, text string")
-    new = spark.createDataFrame([(2, "a"), (9, "b"), (3, "c"), (4, "c")], "doc_id long, text string")
-    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["repeat"]) for r in exact_dedup.exact_dedup(new, old).collect()}
-    assert got == {2: (6, 3, True), 9: (9, 2, True), 3: (4, 2, False), 4: (4, 2, False)}
+    """A kept index over several loads: members, nonmembers, winners of either side."""
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    first, index = exact_dedup.load(frame([(5, "a"), (6, "a"), (1, "b"), (None, "n")]))
+    assert first.count() == 4
+    second, index = exact_dedup.load(frame([(2, "a"), (9, "b"), (3, "c"), (4, "c"), (7, "n")]), index)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in second.collect()}
+    assert got == {2: (6, 3, False), 9: (9, 2, True), 3: (4, 2, False), 4: (4, 2, True), 7: (7, 2, True)}
+    third, index = exact_dedup.load(frame([(-(2**63), "low"), (8, "c")]), index)
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in third.collect()} == {-(2**63): (-(2**63), 1), 8: (8, 3)}
+
+
+def test_history_of_many_loads(spark, monkeypatch):
+    """Generations are merged and buckets dealt anew; winners and copies stay right."""
+    monkeypatch.setattr(exact_dedup, "BUCKET_DIGESTS", 2)
+    monkeypatch.setattr(exact_dedup, "bucket_count", lambda rows: max(3, rows // 2))
+    docs = [(k * 37 % 1000, f"text {k * k % 211}") for k in range(240)]
+    index, seen = None, []
+    for part in range(0, 240, 80):
+        rows = docs[part : part + 80]
+        seen += rows
+        result, index = exact_dedup.load(spark.createDataFrame(rows, "doc_id long, text string"), index)
+        want = _exact(seen)
+        assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in result.collect()} == {i: want[t] for i, t in rows}
+    held = index.agg({"n": "sum", "buckets": "max", "generation": "max"}).first().asDict()
+    assert held["sum(n)"] == len({t for _, t in docs}) and held["max(buckets)"] > 3
+
+
+def test_generations_merge():
+    """A bucket of more loads than MOST_GENERATIONS has one generation again."""
+    import pandas as pd
+
+    index = pd.DataFrame(columns=exact_dedup._INDEX_NAMES)
+    for k in range(exact_dedup.MOST_GENERATIONS + 1):
+        digests = [hashlib.sha256(f"{k} {j}".encode()).digest() for j in range(5)] + [hashlib.sha256(b"in all").digest()]
+        rows = pd.DataFrame({"digest": digests, "winner": pd.Series([k] * 6, dtype="Int64"), "copies": 1, "buckets": 1, "bucket": 0})
+        index = exact_dedup._extend(rows, index)
+        assert len(index) == (k + 1 if k < exact_dedup.MOST_GENERATIONS else 1)
+    got = exact_dedup._look_up(rows, index).set_index("digest")
+    assert got.loc[digests[-1], "keep_id"] == k and got.loc[digests[-1], "group_size"] == k + 1 and index["n"].sum() == 5 * (k + 1) + 1
 
 
 def _shingles(text):
