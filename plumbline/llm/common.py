@@ -45,18 +45,23 @@ def _place(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: lineage ends here,
-    columns can still be pruned, and a lost executor costs no recomputation.
-
-    The table stays until release(), or else until the driver ends."""
-    spark = df.sparkSession
+def made_folder(spark: SparkSession, name: str) -> str:
+    """A new empty folder under the shared one; it stays until release(), or else until the
+    driver ends."""
     path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
     place, files = _place(spark, path)
+    files.mkdirs(place)
     files.deleteOnExit(place)
     _STAGED.append(path)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: lineage ends here,
+    columns can still be pruned, and a lost executor costs no recomputation."""
+    path = f"{made_folder(df.sparkSession, name)}/rows"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mark() -> int:

@@ -7,7 +7,8 @@ their own.  A score is a sum of bin entries through the logistic function.
 
 Rules: null text counts as empty; texts without words get a score like others.  Labels
 that are null, or whose doc_id is null, are not learned from; several labels of a
-document count as one, their mean.  With no labels of both classes all scores are the
+document count as one, their mean, and of several rows of a labelled doc_id the one with
+the smallest feature vector is learned from.  With no labels of both classes all scores are the
 share of positive ones (0.5 without labels).  Extra columns are ignored.
 """
 
@@ -144,10 +145,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Additiv
     """A model of ``label``, from rows that are not held out and MOST_LABELLED of them at most."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null").where(~_held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.avg("y").alias("y"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
+    # MOST_LABELLED rows of two numbers at most go to the texts, which stay where they are.
+    chosen = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = own.join(chosen, "doc_id").select("doc_id", "y", "text")
-    got = rows.select(F.struct("doc_id", "y").alias("y"), "text").mapInArrow(_featurise, "y struct<doc_id: long, y: double>, x array<double>").orderBy("y.doc_id", F.xxhash64("x")).limit(2 * MOST_LABELLED).toPandas()
+    rows = own.join(chosen, "doc_id").select(F.struct("doc_id", "y").alias("y"), "text")
+    learned = rows.mapInArrow(_featurise, "y struct<doc_id: long, y: double>, x array<double>")
+    got = learned.groupBy("y").agg(F.min("x").alias("x")).orderBy("y.doc_id").toPandas()
     if not len(got):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     return fit(np.stack(got["x"].to_numpy()), np.array([r["y"] for r in got["y"]]))

@@ -1,13 +1,19 @@
 """Quality rules: base counts, and robust multivariate outliers for each language and source.
 
-The statistic vectors of a group have a minimum-covariance-determinant estimate: from
-medians and quartiles, concentration steps keep the three quarters of the rows nearest
-to the present estimate, and the last estimate is reweighted.  Rows whose squared
-Mahalanobis distance passes a chi-square bound are rejected.
+The statistic vectors of a group have a minimum-covariance-determinant estimate.  Each of
+three starts (medians and quartiles; the plain mean and covariance; medians and the
+covariance of directions) goes through concentration steps: the three quarters of the rows
+nearest to the present estimate give the next one, until no determinant changes.  The
+start that ends with the smallest determinant is taken and reweighted.  Rows whose
+squared Mahalanobis distance passes a chi-square bound are rejected.
 
-A step is one pass over the whole table that sums moments by group and distance bin
-before the shuffle; the nearest three quarters are then the lowest bins.  No group is
-gathered, however large.
+Covariances have the squares of FLOORS added to their variances, before determinants are
+compared and inverses taken: most texts have no symbols and no repeats at all, and the
+three quarters nearest to them would have no spread.
+
+A step is one pass over the whole table for all starts, which sums moments by group,
+start and distance bin before the shuffle; the nearest three quarters are then the lowest bins.  No
+group is gathered, however large.
 
 Rules: null text counts as empty; a null language or source is a value of its own.
 Groups under MIN_GROUP rows are pooled by language, then all together; a pool that is
@@ -29,7 +35,9 @@ from .common import pieces_of, staged
 from .text_stats import Counts
 
 MIN_WORDS, MOST_REPEATED = 10, 20
-MIN_GROUP, SHARE, STEPS = 60, 0.75, 6
+MIN_GROUP, SHARE = 60, 0.75
+#: Concentration steps at most; they end when no log-determinant changes by more.
+MOST_STEPS, SETTLED = 12, 1e-4
 #: Spread below which a statistic's variation is no outlier; it also keeps covariances regular.
 FLOORS = (0.08, 0.5, 0.5, 0.6)
 #: Chance that a regular row is rejected, if its vector were normal.
@@ -103,17 +111,39 @@ def _with(rows: DataFrame, small: DataFrame, keys: list[str], groups: int) -> Da
 
 
 def _invert(frames):
-    """Moments of each group to centre and inverse covariance, floors added."""
+    """Moments of each group and start to centre, inverse covariance and log-determinant, with
+    the squares of FLOORS added."""
     for x in frames:
         out = []
         for row in x.itertuples(index=False):
             mean = np.array(row.sums) / row.n
-            cov = (np.array(row.products).reshape(P, P) / row.n - np.outer(mean, mean)) * row.factor + np.diag(np.square(FLOORS))
-            out.append((row.g, mean.tolist(), np.linalg.inv((cov + cov.T) / 2).ravel().tolist()))
-        yield pd.DataFrame(out, columns=["g", "m", "w"])
+            cov = (np.array(row.products).reshape(P, P) / row.n - np.outer(mean, mean)) * row.factor
+            out.append((row.g, row.start, *_estimate(mean, cov)))
+        yield pd.DataFrame(out, columns=_MODEL_NAMES)
+
+
+def _estimate(mean: np.ndarray, cov: np.ndarray) -> tuple[list, list, float]:
+    cov = (cov + cov.T) / 2 + np.diag(np.square(FLOORS))
+    return mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])
+
+
+def _begin(frames):
+    """The starts of each group from its quartiles, moments and sums of directions."""
+    for x in frames:
+        out = []
+        for row in x.itertuples(index=False):
+            quartiles, n = np.array([list(q) for q in row.quartiles]), row.n
+            middle, spread = quartiles[:, 1], np.array(row.spread)
+            mean = np.array(row.sums) / n
+            plain = np.array(row.products).reshape(P, P) / n - np.outer(mean, mean)
+            turned = np.array(row.turned).reshape(P, P) / n * P * np.outer(spread, spread)
+            for start, (at, cov) in enumerate(((middle, np.diag(spread**2)), (mean, plain), (middle, turned))):
+                out.append((row.g, start, *_estimate(at, cov)))
+        yield pd.DataFrame(out, columns=_MODEL_NAMES)
 
 
-_MODEL = "g string, m array<double>, w array<double>"
+_MODEL = "g string, start int, m array<double>, w array<double>, logdet double"
+_MODEL_NAMES = [x.split()[0] for x in _MODEL.split(", ")]
 
 
 def _distance() -> F.Column:
@@ -123,36 +153,59 @@ def _distance() -> F.Column:
     return sum(terms[1:], terms[0])
 
 
-def _moments(far: DataFrame, keys: list[str]) -> DataFrame:
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)]
-    products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in range(P) for j in range(i, P)]
-    return far.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums, *products)
+def _sums(prefix: str, x: list) -> list:
+    """Sums of the x and of their products, as columns named by ``prefix``."""
+    return [F.sum(x[i]).alias(f"{prefix}s{i}") for i in range(P)] + [F.sum(x[i] * x[j]).alias(f"{prefix}p{i}{j}") for i in range(P) for j in range(i, P)]
+
+
+_X = [f"x{i}" for i in range(P)]
+
+
+def _full(prefix: str) -> F.Column:
+    """The whole matrix of summed products as an array."""
+    return F.array(*(F.col(f"{prefix}p{min(i, j)}{max(i, j)}") for i in range(P) for j in range(P)))
+
+
+def _starts(rows: DataFrame, groups: int) -> DataFrame:
+    quartiles = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q{i}") for i, x in enumerate(_X)]
+    found = rows.groupBy("g").agg(*quartiles)
+    spread = [F.sqrt(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOORS[i] ** 2) for i in range(P)]
+    found = staged(found.select("g", F.array(*(f"q{i}" for i in range(P))).alias("quartiles"), F.array(*spread).alias("spread")), "quartiles")
+    near = _with(rows, found, ["g"], groups)
+    u = [(F.col(x) - F.col("quartiles")[i][1]) / F.col("spread")[i] for i, x in enumerate(_X)]
+    norm = F.sqrt(sum((x * x for x in u[1:]), u[0] * u[0]))
+    direction = [F.when(norm > 0, x / norm).otherwise(0.0) for x in u]
+    summed = near.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *_sums("", [F.col(x) for x in _X]), *_sums("u", direction))
+    one = summed.select("g", "n", F.array(*(f"s{i}" for i in range(P))).alias("sums"), _full("").alias("products"), _full("u").alias("turned"))
+    return one.join(found, "g").select("g", "n", "quartiles", "spread", "sums", "products", "turned").mapInPandas(_begin, _MODEL)
 
 
 def _model(moments: DataFrame, factor: float) -> DataFrame:
-    """Summed moments of each g to its model."""
+    """Summed moments of each g and start to its model."""
     names = [f"s{i}" for i in range(P)] + [f"p{i}{j}" for i in range(P) for j in range(i, P)]
-    summed = moments.groupBy("g").agg(F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in names))
-    rows = summed.select("g", "n", F.array(*(f"s{i}" for i in range(P))).alias("sums"), F.array(*(f"p{min(i, j)}{max(i, j)}" for i in range(P) for j in range(P))).alias("products"), F.lit(float(factor)).alias("factor"))
-    return rows.mapInPandas(_invert, _MODEL)
+    summed = moments.groupBy("g", "start").agg(F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in names))
+    return summed.select("g", "start", "n", F.array(*(f"s{i}" for i in range(P))).alias("sums"), _full("").alias("products"), F.lit(float(factor)).alias("factor")).mapInPandas(_invert, _MODEL)
 
 
 def robust_model(rows: DataFrame, sizes: DataFrame, groups: int) -> DataFrame:
-    """(g, m, w): the reweighted minimum-covariance-determinant estimate of each group."""
-    start = rows.groupBy("g").agg(*(F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q{i}") for i in range(P)))
-    spread = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOORS[i] ** 2 for i in range(P)]
-    model = start.select("g", F.array(*(F.col(f"q{i}")[1] for i in range(P))).alias("m"), F.array(*((1.0 / spread[i]) if i == j else F.lit(0.0) for i in range(P) for j in range(P))).alias("w"))
-    near = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    for _ in range(STEPS):
-        model = staged(model, "model")
+    """(g, start, m, w, logdet): the reweighted minimum-covariance-determinant estimate of each
+    group, and the start it comes from."""
+    model = staged(_starts(rows, groups), "starts")
+    near = Window.partitionBy("g", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    own = [F.col(x) for x in _X]
+    for _ in range(MOST_STEPS):
         far = _with(rows, model, ["g"], groups).withColumn("bin", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-6))) * _BINS).cast("int"))
-        binned = _moments(far, ["g", "bin"])
+        binned = far.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *_sums("", own))
         before = F.coalesce(F.sum("n").over(near), F.lit(0))
         inner = binned.withColumn("before", before).join(sizes, "g").where(F.col("before") < F.ceil(F.col("size") * SHARE))
-        model = _model(inner, consistency(SHARE))
-    model = staged(model, "model")
+        then, model = model, staged(_model(inner, consistency(SHARE)), "model")
+        change = model.join(then.select("g", "start", F.col("logdet").alias("was")), ["g", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+        if change is None or change < SETTLED:
+            break
+    least = Window.partitionBy("g").orderBy("logdet", "start")
+    model = staged(model.withColumn("k", F.row_number().over(least)).where("k = 1").drop("k"), "least")
     regular = _with(rows, model, ["g"], groups).where(_distance() <= chi2_quantile(0.975, P))
-    return _model(_moments(regular, ["g"]), consistency(0.975))
+    return _model(regular.groupBy("g", "start").agg(F.count(F.lit(1)).alias("n"), *_sums("", own)), consistency(0.975))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

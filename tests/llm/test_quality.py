@@ -65,6 +65,64 @@ def test_robust_model_matches_numpy(spark):
     np.testing.assert_allclose(np.diag(cov), np.array([1, 2, 0.5, 1.5]) + np.square(R.FLOORS), rtol=0.25)
 
 
+def _least_determinant(x, share=R.SHARE, tries=60):
+    """(determinant, centre, inverse) by exact concentration steps from random starts."""
+    rng, floors, h = np.random.default_rng(0), np.diag(np.square(R.FLOORS)), int(np.ceil(len(x) * share))
+
+    def estimate(own, factor):
+        return own.mean(0), np.cov(own.T, bias=True) * factor + floors
+
+    def far(m, cov):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
+
+    best = None
+    for _ in range(tries):
+        m, cov = estimate(x[rng.choice(len(x), 6, replace=False)], 1.0)
+        for _ in range(60):
+            m, new = estimate(x[np.argsort(far(m, cov), kind="stable")[:h]], R.consistency(share))
+            if np.allclose(new, cov, rtol=1e-10):
+                break
+            cov = new
+        if best is None or np.linalg.det(cov) < best[0]:
+            best = np.linalg.det(cov), m, cov
+    _, m, cov = best
+    m, cov = estimate(x[far(m, cov) <= R.chi2_quantile(0.975, 4)], R.consistency(0.975))
+    return best[0], far(m, cov)
+
+
+def test_kept_by_brute_force(spark):
+    """Verdicts of two groups against exact steps from random starts; one group has a block of
+    planted outliers that would pull a plain covariance."""
+    rng = np.random.default_rng(5)
+    text = lambda n, k: " ".join("x" * int(v) for v in rng.integers(2, 2 + k, n))
+    rows = [(i, text(int(rng.integers(40, 200)), 8), "en", "a") for i in range(220)]
+    rows += [(300 + i, text(90, 8).replace(" ", " #$% ", int(rng.integers(10, 80))), "en", "a") for i in range(60)]
+    rows += [(400 + i, text(int(rng.integers(40, 300)), 12) + (" $" * int(rng.integers(0, 4))), "fr", "b") for i in range(150)]
+    rows += [(600 + i, text(100, 60), "fr", "b") for i in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = R.quality_rules(df).join(df.select("doc_id", "lang"), "doc_id").toPandas().set_index("doc_id").sort_index()
+    vectors = R.vectors(R.counts(df)).toPandas().set_index("doc_id").sort_index()
+    bound = R.chi2_quantile(1 - R.TAIL, 4)
+    for lang in ("en", "fr"):
+        own = got[got.lang == lang]
+        _, far = _least_determinant(vectors.loc[own.index, ["x0", "x1", "x2", "x3"]].to_numpy())
+        clear = np.abs(np.log(far / bound)) > 0.1
+        assert clear.mean() > 0.95 and (~own.kept).sum() >= 20
+        np.testing.assert_array_equal(own.kept[clear], (~own.base_failed[clear]) & (far[clear] <= bound))
+        np.testing.assert_allclose(own.distance[far > 1], far[far > 1], rtol=0.1)
+
+
+def test_starts_compete(spark):
+    """A third of a group in one far cluster: the start of least determinant leaves it out."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate((rng.normal(0, 1, (750, 4)) @ np.array([[1, 0.9, 0, 0], [0, 0.4, 0, 0], [0, 0, 1, 0.8], [0, 0, 0, 0.5]]), rng.normal(7, 0.2, (240, 4))))
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, x0 double, x1 double, x2 double, x3 double")
+    row = R.robust_model(df, df.groupBy("g").agg(F.count(F.lit(1)).alias("size")), 1).first()
+    _, far = _least_determinant(x)
+    d = x - np.array(row["m"])
+    np.testing.assert_allclose(np.einsum("ij,jk,ik->i", d, np.array(row["w"]).reshape(4, 4), d), far, rtol=0.1)
+
+
 def test_chi_square():
     assert R.chi2_quantile(0.95, 4) == pytest.approx(9.487729, abs=1e-5)
     assert R.chi2_cdf(5.0, 6) == pytest.approx(0.456187, abs=1e-5)

@@ -159,25 +159,50 @@ def test_token_counts(spark, hard, nothing, public):
     assert token_counts.token_counts(nothing).count() == 0
 
 
-def test_scan_stitches(spark):
-    """Documents across many blocks and groups of blocks, empty ones, an open end."""
+def test_scan_stitches(spark, tmp_path, monkeypatch):
+    """Documents across many blocks and groups of blocks, empty ones, an open end; two files."""
+    monkeypatch.setattr(token_counts, "GROUP", 16)
     rng = np.random.default_rng(0)
-    tokens = rng.integers(0, 5, 9000)
-    tokens[-3:] = 1
-    tokens[100:2000] = 2
-    rows = [("f", int(k), tokens[3 * k : 3 * k + 3].astype("<u2").tobytes()) for k in range(3000)]
-    df = spark.createDataFrame(rows, "file string, block long, tokens binary").repartition(5)
-    got = {r["doc_index"]: (r["n_tokens"], r["closed"]) for r in token_counts.scan(df, end=0).collect()}
-    ends = np.flatnonzero(tokens == 0)
-    want = {k: (int(n), True) for k, n in enumerate(np.diff(ends, prepend=-1) - 1)}
-    want[len(ends)] = (9000 - int(ends[-1]) - 1, False)
-    assert got == want
-
-
-def test_read_flat(spark, tmp_path):
-    np.array([5, 6, 0, 7, 0, 8], "<u2").tofile(tmp_path / "x.bin")
-    blocks = token_counts.read_flat(spark, str(tmp_path), block_tokens=2)
-    assert sorted((r["n_tokens"], r["closed"]) for r in token_counts.scan(blocks, end=0).collect()) == [(1, False), (1, True), (2, True)]
+    want = {}
+    for name, kind in (("a", 0), ("b", 7)):
+        tokens = rng.integers(0, 5, 2000 + kind)
+        tokens[-3:] = 1
+        tokens[100:700] = 2
+        tokens.astype("<u2").tofile(tmp_path / f"{name}.tokens")
+        ends = np.flatnonzero(tokens == 0)
+        want |= {(f"{name}.tokens", k): (int(n), True) for k, n in enumerate(np.diff(ends, prepend=-1) - 1)}
+        want[f"{name}.tokens", len(ends)] = (len(tokens) - int(ends[-1]) - 1, False)
+    got = token_counts.scan(token_counts.ranges(spark, str(tmp_path), block_tokens=3), end=0).collect()
+    assert {(r["file"], r["doc_index"]): (r["n_tokens"], r["closed"]) for r in got} == want
+
+
+def test_flat_files(spark, tmp_path):
+    """Bytes are ids end to end; widths; files that end inside a token; ids that do not fit."""
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "<|endoftext|>")], "doc_id long, text string").coalesce(1)
+    for width in (2, 4):
+        folder = tmp_path / str(width)
+        folder.mkdir()
+        order = token_counts.write_flat(docs, str(folder), width=width).collect()
+        assert [(r["doc_index"], r["doc_id"]) for r in order] == [(0, 1), (1, 2), (2, 3)]
+        (file,) = folder.iterdir()
+        tokens = np.fromfile(file, f"<u{width}").tolist()
+        assert tokens[:4] == [64, 275, 50256, 50256] and tokens.count(50256) == 3 and tokens[-1] == 50256
+        got = token_counts.scan(token_counts.ranges(spark, str(folder), width, block_tokens=2), width=width).collect()
+        assert sorted((r["doc_index"], r["n_tokens"]) for r in got) == [(0, 2), (1, 0), (2, 7)]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x").write_bytes(b"123")
+    with pytest.raises(Exception, match="inside a token"):
+        token_counts.scan(token_counts.ranges(spark, str(tmp_path / "bad"))).collect()
+    with pytest.raises(ValueError, match="does not fit"):
+        token_counts.as_width(np.array([70_000], "<u4").tobytes(), 2)
+
+
+@pytest.mark.parametrize("path", ["/a/b", "file:/a/b", "file:///a/b"])
+def test_stores(path):
+    from pyarrow import fs
+
+    store, at = token_counts._store(path)
+    assert isinstance(store, fs.LocalFileSystem) and at == "/a/b"
 
 
 def test_packing(spark, hard, nothing, plainly):
