@@ -19,9 +19,12 @@ import re
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Pages carry no date; records say so with this one unless told another.
 NO_DATE = "1970-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
@@ -62,19 +65,91 @@ def parse_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|table|tr|h[1-6]|section|article|aside|header|footer|nav|main|pre|blockquote|form|figure|figcaption|body|html|title|td|th)\b[^>]*>", re.I)
-_TAG = re.compile(r"""<[/!?a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*+>|<[/!?a-zA-Z][^>]*>""")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z0-9-]+)""", re.I)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Elements that stand on lines of their own (fixed values).
+_BLOCKS = frozenset("p div br hr li ul ol dl dt dd table tr h1 h2 h3 h4 h5 h6 section article aside header footer nav main pre blockquote form figure figcaption body html title td th".split())
+_OPEN = re.compile(r"<(?:/?([a-zA-Z][a-zA-Z0-9]*)|[/!?])")
+_MARK = re.compile(r"""["'>]""")
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
+_CLOSED = re.compile(r"</title\s*>", re.I)
+_LANG = re.compile(r"""\blang\s*=\s*["']?([A-Za-z0-9-]+)""", re.I)
+_HREF = re.compile(r"""\bhref\s*=\s*(?=[^\s>])""", re.I)
+_VALUE = re.compile(r""""([^"]*)"|'([^']*)'|([^\s>]+)""")
+_HEADS = {k: re.compile(rf"<{k}\b", re.I) for k in ("title", "html", "a")}
+
+
+def tags(text: str):
+    """(start, end, name in lower case or "") of each tag, in time linear in the text.
+
+    A tag ends at the first ``>`` outside quotes, or at the first one if a quote in it is
+    never closed; without any ``>`` there is no tag.  Where a tag ends that stands outside
+    quotes at a quote or a ``>`` is worked out once for all of these, from the last one back."""
+    place = [m.start() for m in _MARK.finditer(text)]
+    n = len(place)
+    close, first, again = [-1] * (n + 1), [-1] * (n + 1), {'"': -1, "'": -1}
+    for k in range(n - 1, -1, -1):
+        c = text[place[k]]
+        if c == ">":
+            close[k] = first[k] = place[k]
+        else:
+            first[k] = first[k + 1]
+            if again[c] >= 0:
+                close[k] = close[again[c] + 1]
+            again[c] = k
+    at = k = 0
+    for m in _OPEN.finditer(text):
+        if m.start() < at:
+            continue
+        while k < n and place[k] < m.start():
+            k += 1
+        end = close[k] if close[k] >= 0 else first[k]
+        if end < 0:
+            return
+        at = end + 1
+        yield m.start(), at, (m[1] or "").lower()
 
 
 def plain_text(page: str) -> str:
     """What a page shows, a line for each block."""
-    text = _TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub(" ", page)))
-    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(text))).strip()
+    page, out, at = _HIDDEN.sub(" ", page), [], 0
+    for start, end, name in tags(page):
+        out += (page[at:start], "\n") if name in _BLOCKS else (page[at:start],)
+        at = end
+    out.append(page[at:])
+    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape("".join(out)))).strip()
+
+
+def _heads(page: str, name: str):
+    """(start, end) of what follows each ``<name`` up to the next ``>``; such stretches do not
+    overlap, so they are linear in the page together."""
+    at = 0
+    while m := _HEADS[name].search(page, at):
+        end = page.find(">", m.end())
+        at = end if end >= 0 else len(page)
+        yield m.end(), at
+
+
+def title_of(page: str) -> str | None:
+    for _, end in _heads(page, "title"):
+        closed = _CLOSED.search(page, end + 1)
+        return page[end + 1 : closed.start()] if closed else None
+    return None
+
+
+def language_of(page: str) -> str | None:
+    for start, end in _heads(page, "html"):
+        if m := _LANG.search(page, start, end):
+            return m[1]
+    return None
+
+
+def links_of(page: str) -> list[str]:
+    out = []
+    for start, end in _heads(page, "a"):
+        if m := _HREF.search(page, start, end):
+            value = _VALUE.match(page, m.end())
+            out.append(value[1] or value[2] or value[3] or "")
+    return out
 
 
 def response(page_id: object, url: str, page: str, date: str = NO_DATE) -> bytes:
@@ -97,15 +172,15 @@ def derive(record: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
         page = payload.decode("utf-8", "replace")
     own, uri, date = source.get("warc-record-id", ""), source.get("warc-target-uri", ""), source.get("warc-date", NO_DATE)
     payload_digest = source.get("warc-payload-digest") or digest(payload)
-    title, lang = _TITLE.search(page), _LANG.search(page)
+    title, lang = title_of(page), language_of(page)
     one = lambda x: re.sub(r"\s+", " ", html.unescape(x)).strip()
     fields = [("source-payload-digest", payload_digest), ("source-block-digest", source.get("warc-block-digest") or digest(block)), ("http-status", status)]
     fields += [(f"http-{k.lower()}", v) for k, v in http]
-    if title:
-        fields.append(("title", one(title[1])))
+    if title is not None:
+        fields.append(("title", one(title)))
     if lang:
-        fields.append(("language", lang[1]))
-    fields += [("outlink", one(a or b or c)) for a, b, c in _LINK.findall(page)]
+        fields.append(("language", lang))
+    fields += [("outlink", one(x)) for x in links_of(page)]
     about = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
     text = plain_text(page).encode()
     shared = [("WARC-Refers-To", own), ("WARC-Target-URI", uri), ("WARC-Date", date)]
@@ -115,13 +190,19 @@ def derive(record: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
     ]
 
 
+def _parts(column):
+    """Ranges of a batch's rows that hold about SCAN_BYTES together, one row at least."""
+    return slices(pc.fill_null(pc.binary_length(column), 0).to_pylist())
+
+
 def responses(pages: DataFrame, date: str = NO_DATE) -> DataFrame:
     """page_id and ``record``, the bytes of a response, of every row of ``pages``."""
 
     def run(batches):
         for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([response(i, u or "", h or "", date) for i, u, h in rows], pa.binary())], names=["page_id", "record"])
+            for a, b in _parts(batch.column(2)):
+                rows = zip(*(batch.column(k).slice(a, b - a).to_pylist() for k in range(3)), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([response(i, u or "", h or "", date) for i, u, h in rows], pa.binary())], names=["page_id", "record"])
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return own.mapInArrow(run, "page_id long, record binary")
@@ -135,16 +216,16 @@ def derivatives(records: DataFrame) -> DataFrame:
     conversion, as columns and as the bytes ``record``."""
 
     def run(batches):
+        kinds = [pa.int64(), *[pa.string()] * 6, pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
-            out = []
-            for page_id, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                made = derive(record)
-                named = dict(made[1][0])
-                for headers, block in made:
-                    h = dict(headers)
-                    out.append((page_id, h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h["WARC-Target-URI"], named["WARC-Source-Payload-Digest"], h["WARC-Block-Digest"], len(block), block, serialise(headers, block)))
-            columns = list(zip(*out, strict=True)) if out else [()] * 10
-            kinds = [pa.int64(), *[pa.string()] * 6, pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _OUT.split(", ")])
+            for a, b in _parts(batch.column(1)):
+                out = []
+                for page_id, record in zip(*(batch.column(k).slice(a, b - a).to_pylist() for k in range(2)), strict=True):
+                    made = derive(record)
+                    named = dict(made[1][0])
+                    for headers, block in made:
+                        h = dict(headers)
+                        out.append((page_id, h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h["WARC-Target-URI"], named["WARC-Source-Payload-Digest"], h["WARC-Block-Digest"], len(block), block, serialise(headers, block)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _OUT.split(", ")])
 
     return records.select("page_id", "record").mapInArrow(run, _OUT)

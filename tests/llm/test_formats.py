@@ -117,3 +117,79 @@ def test_other_charset_and_plain_block():
     assert warc.derive(record)[1][1].decode() == "café" and b"http-status: HTTP/1.1 404 No" in warc.derive(record)[0][1]
     assert warc.derive(warc.serialise([], b"<p>x"))[1][1] == b"x"
     assert hashlib.sha1(b"").hexdigest() and warc.digest(b"").startswith("sha1:")
+
+
+def _naive_tags(text):
+    """Tags by walking on from each one's first letter, character by character."""
+    out, at = [], 0
+    for i in range(len(text) - 1):
+        if i < at or text[i] != "<" or not (text[i + 1] in "/!?" or text[i + 1].isascii() and text[i + 1].isalpha()):
+            continue
+        quote, end = None, -1
+        for j in range(i + 1, len(text)):
+            if quote:
+                quote = None if text[j] == quote else quote
+            elif text[j] in "\"'":
+                quote = text[j]
+            elif text[j] == ">":
+                end = j
+                break
+        if end < 0:
+            end = text.find(">", i)
+        if end < 0:
+            break
+        out.append((i, end + 1))
+        at = end + 1
+    return out
+
+
+@given(st.text(alphabet=st.sampled_from("<>\"'/ap !b"), max_size=40))
+@settings(max_examples=1000, deadline=None)
+def test_tags(text):
+    assert [(a, b) for a, b, _ in warc.tags(text)] == _naive_tags(text)
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a ", "<p ", "<title>", "<html ", '<a "> "', '<a href="', "<!--", "<script", "<script>x</script ", "'", "< "])
+def test_hostile_pages_are_linear(part):
+    """Hundreds of kilobytes of one unfinished thing."""
+    import time
+
+    start = time.process_time()
+    for page in (part * 60_000, part * 60_000 + "'>", part * 60_000 + '">'):
+        warc.derive(warc.response(1, "u", page))
+    assert time.process_time() - start < 5
+
+
+def test_page_fields():
+    page = """<!doctype html><HTML xml:lang='x' lang=de-CH><head><Title a="b">One &amp;
+    two</title ><style>p > q</style></head><body><p title="a > b">Hi <b>there</b><br>you</p><a class=x HREF='l?a=1&amp;b'>l</a><a name=n>no</a><a
+    href = "m n">m</a><!-- <a href=z> --></body>"""
+    assert warc.title_of(page).split() == ["One", "&amp;", "two"] and warc.language_of(page) == "x"
+    assert warc.links_of(page) == ["l?a=1&amp;b", "m n", "z"]
+    assert warc.plain_text(page) == "Hi there\nyou\nlnom"
+    assert warc.links_of("") == [] and warc.title_of("<title>x") is None and warc.plain_text("a < b > c") == "a < b > c"
+
+
+def test_query(spark):
+    """The registered query against digests and names computed apart, over a whole table."""
+    import base64
+    import hashlib
+    import uuid
+
+    from plumbline.llm.queries import op9_warc
+
+    pages = {r["page_id"]: r for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    got = op9_warc(spark, "/root/testdata/sf0.001").collect()
+    sha = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    name = lambda *x: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(map(str, x)))}>"
+    assert len(got) == 2 * len(pages) and {(r["page_id"], r["warc_type"]) for r in got} == {(i, k) for i in pages for k in ("metadata", "conversion")}
+    for r in got:
+        url, html = pages[r["page_id"]]["url"] or "", (pages[r["page_id"]]["html"] or "").encode()
+        source = name("response", r["page_id"], url)
+        assert (r["target_uri"], r["refers_to"], r["record_id"]) == (url, source, name(r["warc_type"], source))
+        assert r["source_digest"] == sha(html) and r["block_digest"] == sha(r["block"].encode()) and r["content_length"] == len(r["block"].encode())
+        if r["warc_type"] == "metadata":
+            fields = [x.partition(": ")[::2] for x in r["block"].split("\r\n")[:-1]]
+            assert ("source-payload-digest", sha(html)) in fields and ("http-status", "HTTP/1.1 200 OK") in fields and ("http-content-length", str(len(html))) in fields
+        else:
+            assert "<p" not in r["block"] and not any(x != x.strip() or not x for x in r["block"].split("\n")[1:-1])
