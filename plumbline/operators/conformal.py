@@ -31,7 +31,7 @@ def quarter_roles(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def hashed_roles(rows: DataFrame, keys: Sequence[str], row_id: str, seed: int = 20260929, least: int = 10) -> DataFrame:
     """Roles by a seeded hash order within each cell; cells under 4 * least rows are left out."""
     own = Window.partitionBy(*keys)
-    placed = rows.withColumns({"h": F.row_number().over(own.orderBy(F.xxhash64(F.lit(seed), *keys, row_id), row_id)) - 1, "m": F.count(F.lit(1)).over(own)})
+    placed = rows.withColumns({"h": F.row_number().over(own.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in (*keys, row_id)))), row_id)) - 1, "m": F.count(F.lit(1)).over(own)})
     role = F.when(F.col("h") < F.floor(F.col("m") / 4), "train").when(F.col("h") < 2 * F.floor(F.col("m") / 4), "cal").otherwise("test")
     return placed.where(F.floor(F.col("m") / 4) >= least).withColumn("role", role).drop("h", "m")
 
@@ -39,7 +39,7 @@ def hashed_roles(rows: DataFrame, keys: Sequence[str], row_id: str, seed: int =
 def prepared_roles(rows: DataFrame, keys: Sequence[str], row_id: str, seed: int = 20260929) -> DataFrame:
     """A fixed test part (role test) stays; the rest is halved into train and cal by hash."""
     rest = Window.partitionBy(*keys, F.col("role") == "test")
-    placed = rows.withColumns({"h": F.row_number().over(rest.orderBy(F.xxhash64(F.lit(seed), row_id), row_id)) - 1, "m": F.count(F.lit(1)).over(rest)})
+    placed = rows.withColumns({"h": F.row_number().over(rest.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string"))), row_id)) - 1, "m": F.count(F.lit(1)).over(rest)})
     return placed.withColumn("role", F.when(F.col("role") == "test", "test").when(F.col("h") < F.floor(F.col("m") / 2), "train").otherwise("cal")).drop("h", "m")
 
 
@@ -144,10 +144,12 @@ def interval_summary(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def paired_deltas(metrics: DataFrame, baseline: str = "Vanilla", keys: Sequence[str] = ("dataset_id", "seed", "base_model", "alpha", "metric")) -> DataFrame:
-    """Each method's values beside the baseline's; rows without one are an error upstream
-    (see validation.unmatched), and are dropped here."""
-    base = metrics.where(F.col("method") == baseline).select(*keys, F.col("value").alias("base_value"))
-    return metrics.where(F.col("method") != baseline).join(base, list(keys)).withColumns({"delta": F.col("value") - F.col("base_value"), "relative_delta": ratio(F.col("value") - F.col("base_value"), F.abs("base_value"))})
+    """Each method's values beside the baseline's; a row without a baseline is an error."""
+    base = metrics.where(F.col("method") == baseline).select(*keys, F.col("value").alias("base_value"), F.lit(True).alias("__found"))
+    joined = metrics.where(F.col("method") != baseline).join(base, list(keys), "left")
+    missing = F.raise_error(F.concat_ws(" ", F.lit(f"no {baseline} row for"), *(F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in ("method", *keys))))
+    checked = joined.withColumn("base_value", F.when(F.col("__found").isNull(), missing.cast("double")).otherwise(F.col("base_value"))).drop("__found")
+    return checked.withColumns({"delta": F.col("value") - F.col("base_value"), "relative_delta": ratio(F.col("value") - F.col("base_value"), F.abs("base_value"))})
 
 
 def summarise(deltas: DataFrame) -> DataFrame:
@@ -169,11 +171,17 @@ def loss_status(rows: DataFrame, keys: Sequence[str], value: str = "value") -> D
     return rows.groupBy(*keys).agg(F.count_if(x.isNull() | F.isnan(x)).alias("n_undefined"), F.count_if(F.abs(x) == INF).alias("n_infinite"), F.count(F.lit(1)).alias("n"))
 
 
+def _fingerprint(row_id: str) -> list[Column]:
+    """Sums and exclusive ors of 60-bit hashes of the rows: nothing is gathered, and no order matters."""
+    h = F.conv(F.substring(F.md5(F.col(row_id).cast("string")), 1, 15), 16, 10)
+    return [F.sum(h.cast("decimal(38,0)")).cast("string").alias("fingerprint"), F.bit_xor(h.cast("long")).cast("string").alias("spread")]
+
+
 def data_usage(rows: DataFrame, keys: Sequence[str], pooled: bool) -> DataFrame:
     """Rows that fit, calibrate and test, and a fingerprint of each role's rows."""
     role = F.when((F.col("role") == "train") & F.lit(pooled), "cal").otherwise(F.col("role"))
-    each = rows.withColumn("role", role).groupBy(*keys, "role").agg(F.count(F.lit(1)).alias("n_rows"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("row_pos").cast("string"))), ","), 256).alias("fingerprint"))
-    return each
+    each = rows.withColumn("role", role).groupBy(*keys, "role").agg(F.count(F.lit(1)).alias("n_rows"), *_fingerprint("row_pos"))
+    return each.withColumn("fingerprint", F.concat_ws("-", "fingerprint", "spread")).drop("spread")
 
 
 def method_name(name: Column) -> Column:

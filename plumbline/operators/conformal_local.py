@@ -6,7 +6,8 @@ a group fits a task.  Kernels are Gaussian in standardised features.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -144,13 +145,72 @@ def posterior_mixture(s_fit: np.ndarray, x_fit: np.ndarray, s_cal: np.ndarray, x
     return np.where(reached.any(1), s_cal[order][reached.argmax(1)], np.inf)
 
 
-METHODS = ("CalLCP", "RLCP", "SLCP", "PCP")
+class Cell(NamedTuple):
+    """What a method sees of a cell: scores and features of the rows that fit and calibrate, and
+    the test rows' features."""
 
+    s_fit: np.ndarray
+    x_fit: np.ndarray
+    s_cal: np.ndarray
+    x_cal: np.ndarray
+    x_test: np.ndarray
 
-def local_conformal(rows: DataFrame, keys: Sequence[str], levels: Sequence[float], alpha: float, features: Sequence[str], method: str, seed: int = 20260929, clusters: int = 4, precision: int = 20) -> DataFrame:
+
+def _pooled(cell: Cell) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Scores and features of all rows before the test, and a bandwidth that leaves a quarter of them."""
+    x, test = standardise(np.concatenate((cell.x_fit, cell.x_cal)), cell.x_test)
+    return np.concatenate((cell.s_fit, cell.s_cal)), x, test, bandwidth_for(x, max(2.0, len(x) / 4)) if len(x) > 4 else 1.0
+
+
+def _cal_lcp(cell: Cell, alpha: float, rng: np.random.Generator, **_) -> np.ndarray:
+    s, x, test, h = _pooled(cell)
+    return calibrated_local(s, x, test, h, alpha)
+
+
+def _cal_wcp(cell: Cell, alpha: float, rng: np.random.Generator, **_) -> np.ndarray:
+    """Fixed weights around each test row: the least score whose weighted share, the test row's
+    own weight counted as endless, reaches the level."""
+    s, x, test, h = _pooled(cell)
+    weight = kernel(squared_distances(test, x), h)
+    order = np.argsort(s, kind="stable")
+    share = np.cumsum(weight[:, order], 1) / (weight.sum(1, keepdims=True) + 1.0)
+    reached = share >= 1 - alpha - 1e-12
+    return np.where(reached.any(1), s[order][reached.argmax(1)], np.inf)
+
+
+def _rlcp(cell: Cell, alpha: float, rng: np.random.Generator, **_) -> np.ndarray:
+    s, x, test, h = _pooled(cell)
+    return randomly_local(s, x, test, h, alpha, rng)
+
+
+def _apart(cell: Cell) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    return standardise(cell.x_fit, cell.x_cal, cell.x_test) if len(cell.x_fit) >= 2 and len(cell.x_cal) else None
+
+
+def _slcp(cell: Cell, alpha: float, rng: np.random.Generator, share: float | None = None, **_) -> np.ndarray:
+    """``share``: a bandwidth that leaves this part of the fitting rows, instead of their median distance."""
+    if (x := _apart(cell)) is None:
+        return np.full(len(cell.x_test), np.inf)
+    h = median_bandwidth(x[0]) if share is None else bandwidth_for(x[0], max(2.0, share * len(x[0])))
+    return smoothed_local(cell.s_fit, x[0], cell.s_cal, x[1], x[2], h, alpha)
+
+
+def _pcp(cell: Cell, alpha: float, rng: np.random.Generator, clusters: int = 4, precision: int = 20, **_) -> np.ndarray:
+    if (x := _apart(cell)) is None:
+        return np.full(len(cell.x_test), np.inf)
+    return posterior_mixture(cell.s_fit, x[0], cell.s_cal, x[1], x[2], alpha, clusters, precision, rng)
+
+
+#: Names to functions of (cell, alpha, rng, options) that give a threshold for each test row; add
+#: to it to plug in a method.
+METHODS: dict[str, Callable[..., np.ndarray]] = {"CalLCP": _cal_lcp, "CalWCP": _cal_wcp, "RLCP": _rlcp, "SLCP": _slcp, "PCP": _pcp}
+
+
+def local_conformal(rows: DataFrame, keys: Sequence[str], levels: Sequence[float], alpha: float, features: Sequence[str], method: str, seed: int = 20260929, **options) -> DataFrame:
     """lower, upper and threshold of the test rows by a localised method on absolute scores."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
+    threshold = METHODS[method]
     base = rows.withColumn("mu", ppd.mean(F.col("ppd"), levels)).select(*keys, "role", "row_pos", "y", "mu", *features)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.select(*keys, "row_pos", "y", "mu").schema)
     names = list(keys)
@@ -162,19 +222,7 @@ def local_conformal(rows: DataFrame, keys: Sequence[str], levels: Sequence[float
         x = {r: p[list(features)].to_numpy(float) for r, p in part.items()}
         s = {r: (p["y"] - p["mu"]).abs().to_numpy(float) for r, p in part.items()}
         rng = np.random.default_rng(np.random.SeedSequence([seed, len(cell)]))
-        if method in ("CalLCP", "RLCP"):
-            x_cal, s_cal = np.concatenate((x["train"], x["cal"])), np.concatenate((s["train"], s["cal"]))
-            x_cal, x_test = standardise(x_cal, x["test"])
-            h = bandwidth_for(x_cal, max(2.0, len(x_cal) / 4)) if len(x_cal) > 4 else 1.0
-            t = calibrated_local(s_cal, x_cal, x_test, h, alpha) if method == "CalLCP" else randomly_local(s_cal, x_cal, x_test, h, alpha, rng)
-        elif len(x["train"]) < 2 or not len(x["cal"]):
-            t = np.full(len(test), np.inf)
-        else:
-            x_fit, x_cal, x_test = standardise(x["train"], x["cal"], x["test"])
-            if method == "SLCP":
-                t = smoothed_local(s["train"], x_fit, s["cal"], x_cal, x_test, median_bandwidth(x_fit), alpha)
-            else:
-                t = posterior_mixture(s["train"], x_fit, s["cal"], x_cal, x_test, alpha, clusters, precision, rng)
+        t = threshold(Cell(s["train"], x["train"], s["cal"], x["cal"], x["test"]), alpha, rng, **options)
         out = test[[*names, "row_pos", "y", "mu"]].copy()
         out["threshold"] = np.maximum(t, 0.0)
         return out

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distributions
-from ..functions.neighbours import nearest
+from ..functions.neighbours import BLOCK, nearest
 from ..functions.scalar import correlation, finite, ratio
 from .tables import average_rank
 
@@ -298,30 +298,47 @@ def matrix_features(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]
 
 
 def class_neighbours(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], y: str = "y_idx", k: int = 5) -> DataFrame:
-    """Share of unlike neighbours, share of rows with any, N2, and the mean silhouette."""
+    """Share of unlike neighbours, share of rows with any, N2, and the mean silhouette; a task a
+    dataset, with distances in blocks of rows."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
-    names = list(keys)
+    names, made = list(keys), ("knn_disagreement", "boundary_frac", "n2", "silhouette")
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
-        x, c = cell[list(columns)].to_numpy(float), cell["__y"].to_numpy()
-        sd = x.std(0)
+        x = cell[list(columns)].to_numpy(float)
+        labels, at = np.unique(cell["__y"].to_numpy(), return_inverse=True)
+        n, sd = len(x), x.std(0)
         z = (x - x.mean(0)) / np.where(sd > 1e-12, sd, np.inf)
-        near, _ = _knn(z, min(k, len(z) - 1)) if len(z) > 1 else (np.zeros((len(z), 0), int), None)
-        unlike = c[near] != c[:, None]
-        d = np.sqrt(np.maximum((z * z).sum(1)[:, None] + (z * z).sum(1)[None, :] - 2 * z @ z.T, 0))
-        same = c[:, None] == c[None, :]
-        np.fill_diagonal(d, np.nan)
-        within = np.nanmin(np.where(same, d, np.inf), 1)
-        other = np.nanmin(np.where(same, np.inf, d), 1)
+        out = dict.fromkeys(made)
+        near, _ = nearest(z, z, min(k, n - 1), own=True)
+        if near.size:
+            unlike = at[near] != at[:, None]
+            out["knn_disagreement"], out["boundary_frac"] = float(unlike.mean()), float(unlike.any(1).mean())
+        size, hot = np.bincount(at), np.eye(len(labels))[at]
+        within, other, s = np.full(n, np.inf), np.full(n, np.inf), np.zeros(n)
+        step = max(1, BLOCK // n)
+        for a in range(0, n, step):
+            own = np.arange(a, min(a + step, n))
+            d = np.zeros((len(own), n))
+            for j in range(z.shape[1]):
+                d += (z[own, j, None] - z[None, :, j]) ** 2
+            d = np.sqrt(d)
+            same = at[own, None] == at[None, :]
+            other[own] = np.where(same, np.inf, d).min(1)
+            total, count = d @ hot, np.tile(size, (len(own), 1)).astype(float)
+            count[np.arange(len(own)), at[own]] -= 1
+            d[np.arange(len(own)), own] = np.inf
+            within[own] = np.where(same, d, np.inf).min(1)
+            mean = np.divide(total, count, out=np.full(total.shape, np.nan), where=count > 0)
+            mine = mean[np.arange(len(own)), at[own]]
+            mean[np.arange(len(own)), at[own]] = np.inf
+            best = mean.min(1)
+            ok = np.isfinite(mine) & np.isfinite(best)
+            s[own[ok]] = (best[ok] - mine[ok]) / np.maximum(np.maximum(mine[ok], best[ok]), 1e-300)
         both = np.isfinite(within) & np.isfinite(other)
-        labels = np.unique(c)
-        mean_to = np.column_stack([np.nanmean(np.where(c[None, :] == v, d, np.nan), 1) for v in labels])
-        at = np.searchsorted(labels, c)
-        a = mean_to[np.arange(len(c)), at]
-        mean_to[np.arange(len(c)), at] = np.inf
-        b = mean_to.min(1)
-        s = np.where(np.isfinite(a) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-        return pd.DataFrame([{n: cell[n].iloc[0] for n in names} | {"knn_disagreement": float(unlike.mean()) if unlike.size else None, "boundary_frac": float(unlike.any(1).mean()) if unlike.size else None, "n2": float(within[both].sum() / other[both].sum()) if both.any() and other[both].sum() > 0 else None, "silhouette": float(s.mean())}]).astype({m: "float64" for m in ("knn_disagreement", "boundary_frac", "n2", "silhouette")})
+        if both.any() and other[both].sum() > 0:
+            out["n2"] = float(within[both].sum() / other[both].sum())
+        out["silhouette"] = float(s.mean())
+        return pd.DataFrame([{c: cell[c].iloc[0] for c in names} | out]).astype(dict.fromkeys(made, "float64"))
 
     own = rows.select(*keys, *(F.col(c).cast("double").alias(c) for c in columns), F.col(y).alias("__y")).dropna()
-    return own.groupBy(*keys).applyInPandas(run, fields + ", knn_disagreement double, boundary_frac double, n2 double, silhouette double")
+    return own.groupBy(*keys).applyInPandas(run, fields + "".join(f", {c} double" for c in made))

@@ -136,10 +136,34 @@ def distance_features(test: DataFrame, context: DataFrame, keys: Sequence[str],
     return side(test).groupBy(*keys).cogroup(side(context).groupBy(*keys)).applyInPandas(run, fields + "".join(f", {c} double" for c in _DISTANCES))
 
 
-def neighbour_join(query: DataFrame, context: DataFrame, keys: Sequence[str], columns: Sequence[str], k: int) -> DataFrame:
-    """The k nearest context rows of each query row within the same dataset."""
-    d2 = sum((F.pow(F.col(f"q_{c}") - F.col(f"c_{c}"), 2) for c in columns), F.lit(0.0))
-    a = query.select(*keys, F.col("row_pos").alias("q_pos"), *(F.col(c).alias(f"q_{c}") for c in columns))
-    b = context.select(*keys, F.col("row_pos").alias("c_pos"), *(F.col(c).alias(f"c_{c}") for c in columns))
-    own = Window.partitionBy(*keys, "q_pos").orderBy("d2", "c_pos")
-    return a.join(b, list(keys)).withColumn("d2", d2).withColumn("place", F.row_number().over(own)).where(F.col("place") <= k).select(*keys, "q_pos", "place", "c_pos", F.sqrt("d2").alias("distance"))
+#: Context rows of a dataset that one task holds.
+CONTEXT_BLOCK = 1 << 16
+
+
+def neighbour_join(query: DataFrame, context: DataFrame, keys: Sequence[str], columns: Sequence[str], k: int, own: bool = False) -> DataFrame:
+    """The k nearest context rows of each query row within the same dataset, the lower
+    ``row_pos`` first where distances are equal; with ``own`` a row is no neighbour of itself.
+
+    The context of a dataset is dealt into blocks of about CONTEXT_BLOCK rows and moves once;
+    the queries meet every block, keep k rows of each, and then the best k of those."""
+    names = list(keys)
+    sizes = context.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CONTEXT_BLOCK).cast("int").alias("__blocks"))
+    side = lambda df, p: df.select(*(F.col(c).alias(c) for c in names), F.col("row_pos").cast("long").alias(p), *(F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)))
+    asked = side(query, "q_pos").join(sizes, names).withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).drop("__blocks")
+    known = side(context, "c_pos").join(sizes, names).withColumn("__block", F.pmod(F.xxhash64("c_pos"), F.col("__blocks")).cast("int")).drop("__blocks")
+    x = [f"__x{i}" for i in range(len(columns))]
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("c_pos", kind="stable")
+        many = min(k + own, len(b))
+        if not len(a) or not many:
+            return pd.DataFrame({c: [] for c in (*names, "q_pos", "c_pos", "distance")})
+        row, far = nearest(b[x].to_numpy(float), a[x].to_numpy(float), many)
+        out = a[[*names, "q_pos"]].loc[a.index.repeat(many)].reset_index(drop=True)
+        out["c_pos"], out["distance"] = b["c_pos"].to_numpy()[row.ravel()], far.ravel()
+        return out[out["c_pos"] != out["q_pos"]] if own else out
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in query.select(*names).schema)
+    found = asked.groupBy(*names, "__block").cogroup(known.groupBy(*names, "__block")).applyInPandas(run, fields + ", q_pos long, c_pos long, distance double")
+    best = Window.partitionBy(*names, "q_pos").orderBy("distance", "c_pos")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select(*names, "q_pos", "place", "c_pos", "distance")

@@ -14,6 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import trees
 
 
 class Predictor(Protocol):
@@ -44,8 +47,44 @@ class ResidualQuantiles:
         return out.withColumn("ppd", F.array(*(F.col("point_pred") + float(v) for v in q)))
 
 
+@dataclass
+class QuantileForest:
+    """Extremely randomised trees for each cell of ``keys``, one task a cell; the distribution of a
+    row has the quantiles of its trees' predictions, the point prediction is their mean."""
+
+    levels: Sequence[float]
+    keys: Sequence[str] = ()
+    trees: int = 30
+    least: int = 5
+    seed: int = 0
+
+    def fit_predict(self, train: DataFrame, test: DataFrame, features: Sequence[str], y: str) -> DataFrame:
+        names, x, levels = list(test.columns), list(features), list(self.levels)
+        keys = list(self.keys) or ["__one"]
+        if not self.keys:
+            train, test = train.withColumn("__one", F.lit(1)), test.withColumn("__one", F.lit(1))
+        schema = T.StructType([*(f for f in test.schema.fields if f.name in names), T.StructField("ppd", T.ArrayType(T.DoubleType())), T.StructField("point_pred", T.DoubleType())])
+
+        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            out = b[names].copy()
+            xa, ya, xb = a[x].to_numpy(float), a["__y"].to_numpy(float), b[x].to_numpy(float)
+            ok = np.isfinite(ya)
+            if not ok.any():
+                return out.assign(ppd=None, point_pred=np.nan)
+            middle = np.array([np.median(c[np.isfinite(c)]) if np.isfinite(c).any() else 0.0 for c in xa[ok].T])
+            xa, xb = (np.where(np.isfinite(v), v, middle) for v in (xa[ok], xb))
+            each = trees.each_tree(trees.forest(xa, ya[ok], self.trees, self.least, self.seed), xb)
+            out["ppd"], out["point_pred"] = list(np.quantile(each, levels, axis=1).T), each.mean(1)
+            return out
+
+        # Rows in an order of their own, so that draws fall alike.
+        own = train.select(*(F.col(c).alias(c) for c in (*keys, *x)), F.col(y).cast("double").alias("__y"))
+        other = test.select(*(F.col(c).alias(c) for c in test.columns))
+        return own.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInPandas(lambda a, b: run(a.sort_values([*x, "__y"], kind="stable"), b), schema)
+
+
 #: Names to builders; add to it to plug in a predictor.
-PREDICTORS: dict[str, Callable[..., Predictor]] = {"forest": lambda levels, **p: ResidualQuantiles(levels, "forest", p), "boosted": lambda levels, **p: ResidualQuantiles(levels, "boosted", p), "linear": lambda levels, **p: ResidualQuantiles(levels, "linear", p)}
+PREDICTORS: dict[str, Callable[..., Predictor]] = {"trees": lambda levels, **p: QuantileForest(levels, **p), "forest": lambda levels, **p: ResidualQuantiles(levels, "forest", p), "boosted": lambda levels, **p: ResidualQuantiles(levels, "boosted", p), "linear": lambda levels, **p: ResidualQuantiles(levels, "linear", p)}
 
 
 def draws_to_quantiles(draws: DataFrame, keys: Sequence[str], levels: Sequence[float], value: str = "draw") -> DataFrame:
@@ -239,47 +278,114 @@ def group_comparison(table: DataFrame, keys: Sequence[str], response: str, group
     return out
 
 
-def component_prediction(panel: DataFrame, features: DataFrame, names: Sequence[str], folds: int = 5, alphas: Sequence[float] = (0.1, 1.0, 10.0, 100.0, 1000.0)) -> DataFrame:
-    """Held-out prediction of a dataset's shared shift and its models' differences by ridge
-    regression with a nested choice of alpha: the gain over predicting nothing.  One task
-    holds one row a dataset."""
-    wide = features.groupBy("dataset_id").agg(*(F.avg(n).alias(n) for n in names))
-    rows = panel.join(wide, "dataset_id").withColumn("__one", F.lit(1))
+def fold_transform(train: np.ndarray, test: np.ndarray, most: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Medians for what is missing, an indicator column for each column that misses a value in
+    ``train``, ranks among at most ``most`` quantiles, unit variance; all learned from ``train``."""
+    gone = ~np.isfinite(train)
+    middle = np.array([np.median(c[~g]) if not g.all() else 0.0 for c, g in zip(train.T, gone.T, strict=True)])
+    marked = gone.any(0)
+
+    def filled(x: np.ndarray) -> np.ndarray:
+        bad = ~np.isfinite(x)
+        return np.column_stack((np.where(bad, middle, x), bad[:, marked].astype(float)))
+
+    a, b = filled(train), filled(test)
+    share = np.linspace(0, 1, min(most, len(train)))
+    edges = np.quantile(a, share, axis=0)
+
+    def ranked(x: np.ndarray) -> np.ndarray:
+        # The middle of the places a tied value could have.
+        up = np.column_stack([np.interp(c, e, share) for c, e in zip(x.T, edges.T, strict=True)])
+        down = np.column_stack([-np.interp(-c, -e[::-1], -share[::-1]) for c, e in zip(x.T, edges.T, strict=True)])
+        return (up + down) / 2
+
+    a, b = ranked(a), ranked(b)
+    sd = a.std(0)
+    scale = np.where(sd > 1e-12, sd, 1.0)
+    return (a - a.mean(0)) / scale, (b - a.mean(0)) / scale
+
+
+def ridge_path(x: np.ndarray, y: np.ndarray, test: np.ndarray, alphas: Sequence[float]) -> np.ndarray:
+    """Predictions of ridge regressions by alpha, from one decomposition."""
+    mean, centre = x.mean(0), y.mean(0)
+    u, s, v = np.linalg.svd(x - mean, full_matrices=False)
+    ty, tx = u.T @ (y - centre), (test - mean) @ v.T
+    return np.stack([tx @ ((s / (s * s + a))[:, None] * ty) + centre for a in alphas])
+
+
+ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)
+
+
+def _nested_alphas(x: np.ndarray, v: np.ndarray, seed: int, alphas: Sequence[float]) -> tuple[float, float]:
+    """The ridge penalties of the shift and of the differences with least error on three inner folds."""
+    fold = np.random.default_rng(seed).permutation(np.arange(len(v)) % 3)
+    loss = np.zeros((2, len(alphas)))
+    for f in range(3):
+        a, b = fold != f, fold == f
+        za, zb = fold_transform(x[a], x[b])
+        centred, held = v[a] - v[a].mean(0), v[b] - v[a].mean(0)
+        for k, (t, h) in enumerate(zip(_parts_of(centred), _parts_of(held), strict=True)):
+            guess = ridge_path(za, t, zb, alphas)
+            loss[k] += ((guess - h) ** 2).sum((1, 2))
+    return tuple(alphas[k] for k in loss.argmin(1))
+
+
+def _parts_of(centred: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shift that models share and their differences, which sum to zero."""
+    shift = centred.mean(1, keepdims=True)
+    return shift, centred - shift
+
+
+_HELD = "learner string, repeat int, fold int, dataset_id long, observed_shared double, predicted_shared double, shared_loss double, shared_zero_loss double, differential_loss double, differential_zero_loss double"
+
+
+def component_prediction(panel: DataFrame, features: DataFrame, names: Sequence[str], learners: Sequence[str] = ("ridge", "extra_trees"), repeats: int = 5, folds: int = 5, n_trees: int = 100, alphas: Sequence[float] = ALPHAS, seed: int = 4100) -> DataFrame:
+    """Held-out predictions of each dataset's shared shift and its models' differences from its
+    features: a row for each learner, repeat and dataset.  Means over datasets, penalties and
+    transforms come from the training folds alone.
+
+    Each repeat of a learner is a task of one row a dataset, as wide as there are models;
+    datasets that lack a model are left out."""
+    wide = features.groupBy(F.col("dataset_id").cast("long").alias("dataset_id")).agg(*(F.avg(n).alias(n) for n in names))
+    rows = panel.select(F.col("dataset_id").cast("long").alias("dataset_id"), "model", "value").join(wide, "dataset_id")
+    runs = rows.withColumn("learner", F.explode(F.array(*map(F.lit, learners)))).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
+        learner, repeat = own["learner"].iloc[0], int(own["repeat"].iloc[0])
         table = own.pivot_table(index="dataset_id", columns="model", values="value").dropna().sort_index()
+        if len(table) < 2 * folds:
+            return pd.DataFrame(columns=[c.split()[0] for c in _HELD.split(", ")])
         x = own.drop_duplicates("dataset_id").set_index("dataset_id").loc[table.index, list(names)].to_numpy(float)
-        x = np.where(np.isfinite(x), x, 0.0)
         v = table.to_numpy(float)
-        shift = v.mean(1) - v.mean()
-        differ = v - v.mean(1, keepdims=True) - (v.mean(0) - v.mean())
-        fold = np.arange(len(v)) % folds
+        fold = np.random.default_rng(seed + repeat).permutation(np.arange(len(v)) % folds)
         out = []
-        for part, target in (("shared", shift[:, None]), ("difference", differ)):
-            held = np.zeros(target.shape)
-            for f in range(folds):
-                a, b = fold != f, fold == f
-                sd = x[a].std(0)
-                za, zb = ((x[s] - x[a].mean(0)) / np.where(sd > 1e-12, sd, np.inf) for s in (a, b))
-                inner = np.arange(a.sum()) % 3
-                for c in range(target.shape[1]):
-                    t = target[a, c]
-
-                    def loss(alpha: float, t=t, za=za, inner=inner) -> float:
-                        total = 0.0
-                        for g in range(3):
-                            beta, base = ridge(za[inner != g], t[inner != g], alpha)
-                            total += float(((t[inner == g] - za[inner == g] @ beta - base) ** 2).sum())
-                        return total
-
-                    beta, base = ridge(za, t, min(alphas, key=loss))
-                    held[b, c] = zb @ beta + base
-            if part == "difference":
-                held -= held.mean(1, keepdims=True)
-            out.append((part, 1 - float(((target - held) ** 2).sum()) / max(float((target**2).sum()), 1e-300), len(v)))
-        return pd.DataFrame(out, columns=["component", "gain", "n_datasets"])
-
-    return rows.groupBy("__one").applyInPandas(run, "component string, gain double, n_datasets long")
+        for f in range(folds):
+            a, b = fold != f, fold == f
+            za, zb = fold_transform(x[a], x[b])
+            base = v[a].mean(0)
+            (qa, ha), (qb, hb) = _parts_of(v[a] - base), _parts_of(v[b] - base)
+            if learner == "ridge":
+                own_alphas = _nested_alphas(x[a], v[a], seed + repeat, alphas)
+                q, h = (ridge_path(za, t, zb, [alpha])[0] for t, alpha in zip((qa, ha), own_alphas, strict=True))
+            else:
+                q, h = (trees.mean_of(trees.forest(za, t, n_trees, 4, 2 * seed + repeat, 0.7), zb) for t in (qa, ha))
+            h = h - h.mean(1, keepdims=True)
+            out.append(pd.DataFrame({"learner": learner, "repeat": repeat, "fold": f, "dataset_id": table.index[b], "observed_shared": qb[:, 0], "predicted_shared": q[:, 0], "shared_loss": (qb - q)[:, 0] ** 2, "shared_zero_loss": qb[:, 0] ** 2, "differential_loss": ((hb - h) ** 2).mean(1), "differential_zero_loss": (hb**2).mean(1)}))
+        return pd.concat(out)
+
+    return runs.groupBy("learner", "repeat").applyInPandas(run, _HELD)
+
+
+def component_gains(held: DataFrame, keys: Sequence[str] = ("learner",)) -> DataFrame:
+    """keys, repeat, component, gain, n_datasets: what is gained over predicting nothing."""
+    parts = [F.struct(F.lit(c).alias("component"), (1.0 - F.sum(f"{c}_loss") / F.nullif(F.sum(f"{c}_zero_loss"), F.lit(0.0))).alias("gain")) for c in ("shared", "differential")]
+    made = held.groupBy(*keys, "repeat").agg(F.array(*parts).alias("parts"), F.count(F.lit(1)).alias("n_datasets"))
+    return made.select(*keys, "repeat", "n_datasets", F.explode("parts").alias("p")).select(*keys, "repeat", "p.component", "p.gain", "n_datasets")
+
+
+def component_summary(gains: DataFrame, keys: Sequence[str] = ("learner",)) -> DataFrame:
+    """Mean and standard deviation of gains over repeats, and the number of datasets."""
+    return gains.groupBy(*keys, "component").agg(F.avg("gain").alias("mean_gain"), F.stddev_samp("gain").alias("sd_gain"), F.min_by("n_datasets", "repeat").alias("n_datasets"))
 
 
 def grid_search(train: DataFrame, features: Sequence[str], y: str, grid: Sequence[dict], folds: int = 3, seed: int = 0) -> tuple[dict, list[float]]:

@@ -136,8 +136,8 @@ def mixed_model(table: DataFrame, keys: Sequence[str], response: str, features:
             out = [{"n": len(own), "n_groups": groups, "status": "insufficient_support"}]
         else:
             out = _rows(random_intercept(own["__y"].to_numpy(float), x, own[group].to_numpy()), names, x)
-        made = pd.DataFrame([key | r for r in out], columns=[*keys, *columns])
-        return made.astype({c: "float64" for c in columns if c not in ("feature", "n", "n_groups", "status")})
+        made = pd.DataFrame([{"feature": None} | key | r for r in out], columns=[*keys, *columns])
+        return made.astype({c: "float64" for c in columns if c not in ("feature", "n", "n_groups", "status")} | {"feature": "object"})
 
     own = table.select(*keys, F.col(response).cast("double").alias("__y"), *features, *([group] if group not in (*keys, *features) else []))
     return own.groupBy(*keys).applyInPandas(run, f"{fields}, {_FIT}" if fields else _FIT)
@@ -168,7 +168,7 @@ def cross_model(table: DataFrame, keys: Sequence[str], response: str, feature: s
                     pick[1 + m + k] = 1.0
                 slope, se = float(pick @ fit.beta), float(np.sqrt(pick @ fit.cov @ pick))
                 out.append({"model": name, "effect": float(fit.beta[0] + (fit.beta[1 + k] if k else 0.0)), "slope": slope, "slope_se": se, "p": float(2 * normal_sf(abs(slope / se))), "n": fit.n, "status": "ok"})
-        return pd.DataFrame([key | r for r in out], columns=[*keys, *columns]).astype({c: "float64" for c in ("effect", "slope", "slope_se", "p")})
+        return pd.DataFrame([{"model": None} | key | r for r in out], columns=[*keys, *columns]).astype({c: "float64" for c in ("effect", "slope", "slope_se", "p")} | {"model": "object"})
 
     own = table.select(*keys, "model", F.col(response).cast("double").alias("__y"), F.col(feature).cast("double").alias("__x"), group)
     schema = "model string, effect double, slope double, slope_se double, p double, n long, status string"

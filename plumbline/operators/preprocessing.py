@@ -118,3 +118,10 @@ def apply(rows: DataFrame, strategy: Strategy, numeric: Sequence[str], categoric
             rows = one_hot(rows, c, values)
         return rows
     return coded
+
+
+def text_columns(*frames: DataFrame) -> list[str]:
+    """Columns that are no number in any of several frames, in the order they come."""
+    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
+    found = {c: None for df in frames for c, kind in df.dtypes if kind not in numeric and not kind.startswith("decimal")}
+    return list(found)

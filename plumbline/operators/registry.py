@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # They must agree with published tables.  True: lower is better; None: no
@@ -24,6 +25,11 @@ SIGNED = {"cov_dev_signed", "wsc_dev_signed"}
 SCALE_DEPENDENT = {"rmse", "mae", "crps_mean", "interval_score", "pinball_lower", "pinball_mean", "pinball_upper", "avg_length", "brier_score", "log_loss"}
 PREDICTION = {"r2", "rmse", "mae", "accuracy", "macro_f1", "roc_auc_ovr_macro"}
 PROPER = {"crps_mean", "interval_score", "pinball_lower", "pinball_mean", "pinball_upper", "brier_score", "log_loss"}
+#: Responses of an analysis that names none (fixed values).
+DEFAULT_RESPONSES = {
+    "regression": ("r2", "rmse", "mae", "crps_mean", "pit_ece", "pit_hist_l1", "pit_ks_stat", "cov_dev_signed", "wsc_dev_signed", "cov_abs_dev", "wsc_abs_dev", "total_abs_dev", "interval_score", "pinball_lower", "pinball_mean", "pinball_upper", "avg_width_norm"),
+    "classification": ("log_loss", "brier_score", "accuracy", "macro_f1", "roc_auc_ovr_macro", "confidence_ece_em", "classwise_ece_em", "cmce_em"),
+}
 #: Levels that a feature selection must have for each category.
 REQUIRED_ALPHAS = (0.05, 0.2)
 
@@ -44,6 +50,17 @@ def ascending(metric: str) -> bool:
     return lower
 
 
+#: Metrics of which more is better.
+HIGHER_IS_BETTER = tuple(m for m, lower in LOWER_IS_BETTER.items() if lower is False)
+
+
+def signed(metric: Column, value: Column) -> Column:
+    """``value`` so that less is better; long names count by their last part, and metrics
+    without direction as if lower were better."""
+    last = F.element_at(F.split(metric, r"\."), -1)
+    return F.when(last.isin(*HIGHER_IS_BETTER), -value).otherwise(value)
+
+
 def axis_direction(metric: str, bias: bool = False) -> int | None:
     """The sign of a peer-relative value: +1 for biases; the direction, or -1 on an axis; else None."""
     if bias:

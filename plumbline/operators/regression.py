@@ -230,3 +230,10 @@ def all_metrics(rows: DataFrame, keys: Sequence[str], levels: Sequence[float], a
 
     alpha_free = long(wide_free, keys).withColumn("alpha", F.lit(None).cast("double"))
     return alpha_free.unionByName(long(wide.drop("n_eval"), [*keys, "alpha"])).where(F.col("value").isNotNull())
+
+
+def point_records(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """R2 alone of records that have point predictions and no distribution, with the status of
+    what was not asked for."""
+    made = point_accuracy(rows.where(F.col("point_pred").isNotNull()), keys)
+    return made.select(*keys, "r2", F.lit("not_requested").alias("distribution_status"), F.when(F.col("r2").isNull(), "undefined").otherwise("ok").alias("metric_status"))

@@ -1,4 +1,5 @@
-"""Splits and stratified samples by seeded hash order, so that any engine can repeat them."""
+"""Splits and stratified samples by seeded hash order (MD5 of ``seed:row``), so that any engine
+can repeat them."""
 
 from __future__ import annotations
 
@@ -17,7 +18,7 @@ def quotas(counts: dict, size: int, minimum: int = 1, reserve: int = 0) -> dict:
     """Rows of each class: in proportion, between ``minimum`` and the class less ``reserve``,
     by handing out rows one at a time where the squared error falls most; ties by class."""
     total = sum(counts.values())
-    low = {c: min(minimum, n) for c, n in counts.items()}
+    low = dict.fromkeys(counts, minimum)
     high = {c: n - reserve for c, n in counts.items()}
     if size > sum(high.values()) or size < sum(low.values()) or any(high[c] < low[c] for c in counts):
         raise InfeasibleSample(f"{size} rows cannot be drawn with at least {minimum} and {reserve} left in each class")
@@ -32,7 +33,7 @@ def quotas(counts: dict, size: int, minimum: int = 1, reserve: int = 0) -> dict:
 
 
 def _order(row_id: str, seed: int) -> list[Column]:
-    return [F.xxhash64(F.lit(seed), F.col(row_id)), F.col(row_id)]
+    return [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string"))), F.col(row_id)]
 
 
 def stratified(rows: DataFrame, y: str, size: int, row_id: str, seed: int = 0, minimum: int = 1, reserve: int = 0) -> DataFrame:

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def ordered(importances: DataFrame, keys: Sequence[str], columns: Sequence[str] = ("xi", "shap", "lr", "ridge")) -> DataFrame:
-    """``place`` by the first of the columns that is there, largest first, missing last."""
-    have = [c for c in columns if c in importances.columns]
-    own = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(F.coalesce(*(F.col(c) for c in have))), "feature")
+    """``place`` by the first of the columns that the table has, largest first, missing last;
+    one column for all rows, as columns have scales of their own."""
+    have = next((c for c in columns if c in importances.columns), None)
+    if have is None:
+        raise ValueError(f"none of {', '.join(columns)} is there to order by")
+    own = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(have), "feature")
     return importances.withColumn("place", F.row_number().over(own))
 
 
@@ -57,3 +60,32 @@ def partition_problems(groups: dict[str, Sequence[str]], everything: Sequence[st
         for f in own:
             count[f] = count.get(f, 0) + 1
     return sorted(f for f, n in count.items() if n != 1)
+
+
+def nested_groups(x: Sequence[str], y: Sequence[str], relation: Sequence[str], auxiliary: Sequence[str]) -> dict[str, list[str]]:
+    """Feature sets that grow: of inputs, with the target's, with their direct relation, with
+    what auxiliary models tell.  A feature in two of them is an error."""
+    direct = [f for f in relation if f not in set(auxiliary)]
+    aux = [f for f in relation if f in set(auxiliary)]
+    parts = {"X": list(x), "+Y": list(y), "+XY": direct, "+Aux": aux}
+    everything = [f for own in parts.values() for f in own]
+    if twice := partition_problems(parts, everything):
+        raise ValueError(f"in several groups: {', '.join(twice)}")
+    out, held = {}, []
+    for name, own in parts.items():
+        held = [*held, *own]
+        out[name] = held
+    return out
+
+
+def only_selected(features: DataFrame, selected: Sequence[str], column: str = "feature") -> DataFrame:
+    """Rows of features that are selected, and none of a task's other features."""
+    wanted = features.sparkSession.createDataFrame([(f,) for f in selected], "__f string").distinct()
+    return features.join(wanted, features[column] == wanted["__f"], "left_semi")
+
+
+def predictors_of(columns: Sequence[str], ids: Sequence[str], redundant: Sequence[str] = ("dim_ratio",), raw_units: Sequence[str] = ()) -> list[str]:
+    """The feature columns that an analysis takes when it names none: all but keys, redundant
+    ones, and those in the target's own units."""
+    out = set(ids) | set(redundant) | set(raw_units)
+    return [c for c in columns if c not in out]

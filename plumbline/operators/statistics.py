@@ -123,3 +123,11 @@ def strongest(correlations: DataFrame, k: int = 5) -> DataFrame:
     own = Window.partitionBy("metric").orderBy(F.desc(F.abs("r")), "feature")
     top = correlations.where("r is not null").withColumn("place", F.row_number().over(own)).where(F.col("place") <= k)
     return top.groupBy("feature").agg(F.min("place").alias("best_place"), F.count(F.lit(1)).alias("n_metrics"))
+
+
+#: How results of seeds are combined: name to (summary, keys) -> DataFrame; add to it to plug one in.
+COMBINERS = {
+    "fisher_z": lambda rows, keys: fisher_z(rows, keys),
+    "mean_sd": lambda rows, keys, value="xi": mean_sd(rows, keys, value),
+    "rubin": lambda rows, keys: rubin(rows, keys),
+}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite, ratio
-from .registry import ABSOLUTE_DELTA, axis_direction, category, direction, scale
+from .registry import ABSOLUTE_DELTA, axis_direction, category, direction, scale, signed
 
 KEYS = ("dataset_id", "model", "seed", "ratio")
 
@@ -123,17 +123,13 @@ def average_rank(value: Column, keys: Sequence[str], ascending: bool = True) ->
 def ranks(long: DataFrame, keys: Sequence[str], value: str = "value", metric: str = "metric") -> DataFrame:
     """``long`` with ``rank``: models within keys and metric, best first; metrics without
     direction are ranked as if lower were better."""
-    higher = F.col(metric).isin("r2", "accuracy", "macro_f1", "roc_auc_ovr_macro")
-    signed = F.when(higher, -F.col(value)).otherwise(F.col(value))
-    return long.withColumn("signed", signed).withColumn("rank", average_rank(F.col("signed"), [*keys, metric])).drop("signed")
+    return long.withColumn("signed", signed(F.col(metric), F.col(value))).withColumn("rank", average_rank(F.col("signed"), [*keys, metric])).drop("signed")
 
 
 def joint_ranks(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean place of each ensemble size among all (model, ensemble) configurations of a
     dataset, scaled to 0..1."""
-    higher = F.col("metric").isin("r2", "accuracy", "macro_f1", "roc_auc_ovr_macro")
-    signed = long.withColumn("signed", F.when(higher, -F.col("value")).otherwise(F.col("value")))
-    placed = signed.withColumn("rank", average_rank(F.col("signed"), ["metric", *keys])).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("metric", *keys)))
+    placed = long.withColumn("signed", signed(F.col("metric"), F.col("value"))).withColumn("rank", average_rank(F.col("signed"), ["metric", *keys])).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("metric", *keys)))
     mean = placed.groupBy("metric", "model", "ensemble").agg(F.avg("rank").alias("mean_rank"), F.max("n").alias("n"))
     return mean.groupBy("metric", "ensemble").agg(F.avg(ratio(F.col("mean_rank") - 1, F.col("n") - 1)).alias("normalised_rank"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ppd
 
-from ..operators import bootstrap, classification, compare, conformal, conformal_local, dataset_features, decompose, instance_features, learners, mixed, preprocessing, regression, sampling, selection, statistics, tables, validation
+from ..operators import bootstrap, classification, compare, complexity, conformal, conformal_local, dataset_features, decompose, ensembles, instance_features, instance_predict, learners, mixed, preprocessing, regression, sampling, selection, statistics, tables, validation
 from ..operators.registry import registry
 from ..sources.panels import KEYS, LEVELS, bin_panel, clf_panel, feature_panel, reg_panel, table
 from ..streaming.coverage import windowed_coverage, with_bounds
@@ -112,6 +112,18 @@ def r_pit_ks(spark, d):
     return regression.pit_metrics(rows, KEYS, p_value=False).select(*KEYS, "pit_ks_stat")
 
 
+@register(S.query(S.REG, _PIT, """
+k AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, seed, model ORDER BY pit) AS i, count(*) OVER (PARTITION BY dataset_id, seed, model) AS n FROM pit),
+l AS (SELECT dataset_id, seed, model, sum(abs(w - q)) / {b} AS pit_ece FROM (SELECT dataset_id, seed, model, q, avg(CASE WHEN pit <= q THEN 1 ELSE 0 END) AS w FROM pit CROSS JOIN (SELECT unnest(list_transform(range(1, {b} + 1), lambda j: j / ({b} + 1.0::DOUBLE))) AS q) GROUP BY ALL) GROUP BY ALL),
+h AS (SELECT dataset_id, seed, model, least(floor(pit * {b}), {b} - 1) AS bin, count(*) / max(n) AS p FROM k GROUP BY ALL),
+f AS (SELECT dataset_id, seed, model, sum(abs(p - 1 / {b}.0::DOUBLE)) + ({b} - count(*)) / {b}.0::DOUBLE AS pit_hist_l1 FROM h GROUP BY ALL),
+s AS (SELECT dataset_id, seed, model, max(greatest(i / n - pit, pit - (i - 1) / n)) AS pit_ks_stat FROM k GROUP BY ALL)""".replace("{b}", str(regression.PIT_BINS)),
+"SELECT * FROM s JOIN l USING (dataset_id, seed, model) JOIN f USING (dataset_id, seed, model)"), "pit_ks_stat pit_ece pit_hist_l1")
+def r_pit_calibration(spark, d):
+    rows = regression.distribution_rows(reg_panel(spark, d), LEVELS)
+    return regression.pit_metrics(rows, KEYS, p_value=False)
+
+
 @register()
 def r_pit_all(spark, d):
     return regression.pit_metrics(regression.distribution_rows(reg_panel(spark, d), LEVELS), KEYS)
@@ -137,6 +149,19 @@ def r_worst_slab(spark, d):
     return regression.total_deviation(_cells(spark, d).select(*KEYS, "alpha", "cov_abs_dev"), slabs, KEYS)
 
 
+@register(S.query(S.REG, S.IV, S.IM, S.PA, f"""
+a AS (SELECT dataset_id, seed, model, alpha, unnest({_IM_COLUMNS.split()}) AS metric, unnest([{", ".join(_IM_COLUMNS.split())}]) AS value FROM im)""",
+"SELECT dataset_id, seed, model, alpha, metric, value FROM a UNION ALL SELECT dataset_id, seed, model, NULL, unnest(['r2', 'rmse', 'mae']), unnest([r2, rmse, mae]) FROM pa"), "alpha value")
+def r_metrics_long(spark, d):
+    made = regression.all_metrics(reg_panel(spark, d), KEYS, LEVELS)
+    return made.where("metric <> 'crps_mean' and metric not like 'pit%'").select(*KEYS, "alpha", "metric", "value")
+
+
+@register(S.query(S.REG, S.PA, "SELECT dataset_id, seed, model, r2, 'not_requested' AS distribution_status, CASE WHEN r2 IS NULL THEN 'undefined' ELSE 'ok' END AS metric_status FROM pa"), "r2")
+def r_point_records(spark, d):
+    return regression.point_records(reg_panel(spark, d).drop("ppd"), KEYS)
+
+
 @register()
 def r_all_metrics(spark, d):
     return regression.all_metrics(reg_panel(spark, d), KEYS, LEVELS, numeric=["x_disc", "x_tax", "x_qty"], categorical=["c_status"])
@@ -199,6 +224,11 @@ def c_macro_f1(spark, d):
     return classification.macro_f1(_instances(spark, d), CKEYS)
 
 
+@register("SELECT * FROM " + " JOIN ".join(f"({QUERIES[n].sql})" + (f" q{k} USING (dataset_id, model)" if k else " q0") for k, n in enumerate(("c_top_label", "c_classwise", "c_cumulative_mass", "c_proper_scores", "c_auc", "c_macro_f1"))))
+def c_metrics_wide(spark, d):
+    return classification.all_metrics(clf_panel(spark, d), CKEYS, 10)
+
+
 @register()
 def c_all_metrics(spark, d):
     return classification.all_metrics(clf_panel(spark, d), CKEYS, 10)
@@ -344,7 +374,17 @@ def t_instance_table(spark, d):
     return joined.groupBy(*KEYS).agg(F.sum("miscovered").alias("n_missed"), F.count(F.lit(1)).alias("n_rows"))
 
 
-@register()
+_KNOWN = ", ".join(f"('{m}')" for m in "r2 rmse mae crps_mean pit_ece pit_hist_l1 pit_ks_stat cov_dev_signed wsc_dev_signed cov_abs_dev wsc_abs_dev total_abs_dev avg_length avg_width_norm interval_score pinball_lower pinball_mean pinball_upper accuracy macro_f1 roc_auc_ovr_macro brier_score log_loss confidence_ece_em confidence_ece_ew confidence_mce_em confidence_mce_ew classwise_ece_em classwise_ece_ew classwise_mce_em classwise_mce_ew cmce_em cmce_ew".split())
+
+
+@register(f"""
+WITH m(metric) AS (VALUES {_KNOWN}),
+k AS (SELECT *, metric LIKE '%_dev%' OR metric LIKE 'avg_%' AS trade_off, metric LIKE '%dev_signed' AS signed, metric LIKE '%abs_dev' OR metric = 'avg_width_norm' AS axis,
+  metric IN ('r2', 'accuracy', 'macro_f1', 'roc_auc_ovr_macro') AS higher FROM m)
+SELECT metric, (CASE WHEN trade_off THEN 0 WHEN higher THEN 1 ELSE -1 END)::INT AS direction,
+  CASE WHEN higher OR metric IN ('rmse', 'mae') THEN 'prediction' WHEN metric IN ('crps_mean', 'interval_score', 'brier_score', 'log_loss') OR metric LIKE 'pinball%' THEN 'proper_score' ELSE 'calibration' END AS category,
+  CASE WHEN metric IN ('rmse', 'mae', 'crps_mean', 'interval_score', 'avg_length', 'brier_score', 'log_loss') OR metric LIKE 'pinball%' THEN 'scale_dependent' ELSE 'scale_free' END AS scale,
+  trade_off, axis, signed, higher OR metric = 'brier_score' AS absolute_delta FROM k""")
 def d_registry(spark, d):
     return registry(spark)
 
@@ -670,14 +710,16 @@ def t_relative_width(spark, d):
     return conformal.relative_width(_method_metrics(spark, d))
 
 
-@register(S.query(S.REG, _ROLES, "SELECT dataset_id, seed, model, CASE WHEN role = 'train' THEN 'cal' ELSE role END AS role, count(*) AS n_rows, sha256(array_to_string(list_sort(list(CAST(row_pos AS VARCHAR))), ',')) AS fingerprint FROM cf GROUP BY ALL"))
+@register(S.query(S.REG, _ROLES, "SELECT dataset_id, seed, model, CASE WHEN role = 'train' THEN 'cal' ELSE role END AS role, count(*) AS n_rows, sum(h::HUGEINT)::VARCHAR || '-' || bit_xor(h)::VARCHAR AS fingerprint FROM (SELECT *, CAST('0x' || substr(md5(CAST(row_pos AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM cf) GROUP BY ALL"))
 def n_data_usage(spark, d):
     return conformal.data_usage(_roles(spark, d), KEYS, True)
 
 
-@register()
+@register(S.query(S.REG, "h AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, seed, model ORDER BY md5('20260929:' || dataset_id || ':' || seed || ':' || model || ':' || row_pos), row_pos) - 1 AS k, count(*) OVER (PARTITION BY dataset_id, seed, model) // 4 AS q FROM reg_panel), r AS (SELECT *, CASE WHEN k < q THEN 'train' WHEN k < 2 * q THEN 'cal' ELSE 'test' END AS role FROM h WHERE q >= 10)",
+"SELECT dataset_id, seed, model, role, count(*) AS n, sum(row_pos)::BIGINT AS rows, min(row_pos) AS first FROM r GROUP BY ALL"))
 def n_hashed_roles(spark, d):
-    return conformal.hashed_roles(reg_panel(spark, d), KEYS, "row_pos").groupBy(*KEYS, "role").agg(F.count(F.lit(1)).alias("n"))
+    made = conformal.hashed_roles(reg_panel(spark, d), KEYS, "row_pos")
+    return made.groupBy(*KEYS, "role").agg(F.count(F.lit(1)).alias("n"), F.sum("row_pos").alias("rows"), F.min("row_pos").alias("first"))
 
 
 # --------------------------------------------------------------------------- dataset features
@@ -803,7 +845,14 @@ def x_matrix_features(spark, d):
     return dataset_features.matrix_features(reg_panel(spark, d), ["dataset_id", "seed"], _COLS)
 
 
-@register()
+@register(S.query(_EMB, """
+z AS (SELECT dataset_id, vec_id, label, (e1 - avg(e1) OVER k) / stddev_pop(e1) OVER k AS a, (e2 - avg(e2) OVER k) / stddev_pop(e2) OVER k AS b, (e3 - avg(e3) OVER k) / stddev_pop(e3) OVER k AS c FROM em WINDOW k AS (PARTITION BY dataset_id)),
+d AS (SELECT x.dataset_id, x.vec_id, x.label, y.label AS l2, y.vec_id AS v2, sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2) AS d FROM z x JOIN z y ON x.dataset_id = y.dataset_id AND x.vec_id <> y.vec_id),
+n AS (SELECT dataset_id, vec_id, avg(CASE WHEN label <> l2 THEN 1 ELSE 0 END) AS u, max(CASE WHEN label <> l2 THEN 1 ELSE 0 END) AS b FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, v2) <= 5) GROUP BY ALL),
+m AS (SELECT dataset_id, vec_id, label, l2, avg(d) AS m, min(d) AS lo FROM d GROUP BY ALL),
+s AS (SELECT dataset_id, vec_id, max(CASE WHEN label = l2 THEN m END) AS i, min(CASE WHEN label <> l2 THEN m END) AS o, min(CASE WHEN label = l2 THEN lo END) AS w, min(CASE WHEN label <> l2 THEN lo END) AS e FROM m GROUP BY ALL)""",
+"SELECT dataset_id, avg(u) AS knn_disagreement, avg(b) AS boundary_frac, sum(w) FILTER (e IS NOT NULL) / sum(e) FILTER (w IS NOT NULL) AS n2, avg(coalesce((o - i) / greatest(o, i), 0)) AS silhouette FROM n JOIN s USING (dataset_id, vec_id) GROUP BY ALL"),
+"knn_disagreement boundary_frac n2 silhouette")
 def x_class_neighbours(spark, d):
     return dataset_features.class_neighbours(_emb(spark, d), ["dataset_id"], _ECOLS)
 
@@ -828,10 +877,10 @@ def i_input_quality(spark, d):
     return instance_features.input_quality(rows, [*_COLS, "c_status"]).groupBy(*KEYS).agg(F.sum("n_missing").alias("n_missing"), F.avg("missing_frac").alias("missing_frac"))
 
 
-@register(S.query(_EMB, "SELECT a.dataset_id, a.vec_id AS q_pos, row_number() OVER (PARTITION BY a.dataset_id, a.vec_id ORDER BY (a.e1 - b.e1) ** 2 + (a.e2 - b.e2) ** 2 + (a.e3 - b.e3) ** 2, b.vec_id)::INT AS place, b.vec_id AS c_pos, sqrt((a.e1 - b.e1) ** 2 + (a.e2 - b.e2) ** 2 + (a.e3 - b.e3) ** 2) AS distance FROM em a JOIN em b ON a.dataset_id = b.dataset_id WHERE a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0 QUALIFY place <= 5"), "distance")
+@register(S.query(_EMB, "SELECT a.dataset_id, a.vec_id AS q_pos, row_number() OVER (PARTITION BY a.dataset_id, a.vec_id ORDER BY (a.e1 - b.e1) ** 2 + (a.e2 - b.e2) ** 2 + (a.e3 - b.e3) ** 2, b.vec_id)::INT AS place, b.vec_id AS c_pos, sqrt((a.e1 - b.e1) ** 2 + (a.e2 - b.e2) ** 2 + (a.e3 - b.e3) ** 2) AS distance FROM em a JOIN em b ON a.dataset_id = b.dataset_id WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id QUALIFY place <= 5"), "distance")
 def j_neighbours(spark, d):
     rows = _emb(spark, d)
-    return instance_features.neighbour_join(rows.where("row_pos % 100 = 0"), rows.where("row_pos % 100 <> 0"), ["dataset_id"], _ECOLS, 5)
+    return instance_features.neighbour_join(rows.where("row_pos % 100 = 0"), rows, ["dataset_id"], _ECOLS, 5, own=True)
 
 
 @register()
@@ -912,19 +961,29 @@ def u_feature_intersection(spark, d):
 
 
 # --------------------------------------------------------------------------- sampling, draws, models
-@register()
+@register(S.query(S.REG, "h AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY dataset_id, seed, model ORDER BY md5('1:' || row_pos), row_pos) <= n_test // 2 THEN 'train' ELSE 'test' END AS split FROM reg_panel)",
+"SELECT dataset_id, seed, model, split, count(*) AS n, sum(row_pos)::BIGINT AS rows FROM h GROUP BY ALL"))
 def l_halves(spark, d):
-    return sampling.halves(reg_panel(spark, d), KEYS, "row_pos").groupBy(*KEYS, "split").agg(F.count(F.lit(1)).alias("n"))
+    return sampling.halves(reg_panel(spark, d), KEYS, "row_pos").groupBy(*KEYS, "split").agg(F.count(F.lit(1)).alias("n"), F.sum("row_pos").alias("rows"))
 
 
-@register()
+@register("""
+WITH c AS (SELECT label, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS want FROM embeddings GROUP BY label),
+q AS (SELECT *, floor(want) + CASE WHEN row_number() OVER (ORDER BY want - floor(want) DESC, CAST(label AS VARCHAR)) <= 100 - sum(floor(want)) OVER () THEN 1 ELSE 0 END AS quota FROM c)
+SELECT vec_id, label FROM embeddings JOIN q USING (label) QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('0:' || vec_id), vec_id) <= quota""")
 def l_stratified(spark, d):
     return sampling.stratified(table(spark, d, "embeddings").select("vec_id", "label"), "label", 100, "vec_id")
 
 
-@register()
+@register("SELECT vec_id, label, ((row_number() OVER (PARTITION BY label ORDER BY md5('0:' || vec_id), vec_id) - 1) % 5)::INT AS fold FROM embeddings")
 def l_folds(spark, d):
-    return sampling.folds(table(spark, d, "embeddings").select("vec_id", "label"), [], "vec_id", y="label").groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return sampling.folds(table(spark, d, "embeddings").select("vec_id", "label"), [], "vec_id", y="label")
+
+
+@register("SELECT l_returnflag, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY md5('0:' || (l_orderkey * 8 + l_linenumber)), l_orderkey * 8 + l_linenumber) <= 1000")
+def l_capped(spark, d):
+    lines = table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber").withColumn("row_id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return sampling.capped(lines, ["l_returnflag"], "row_id").drop("row_id")
 
 
 @register()
@@ -950,9 +1009,9 @@ def _lme_table(spark, d):
 
 @register()
 def q_mixed_model(spark, d):
-    rows = _lme_table(spark, d)
-    twice = rows.unionByName(rows.withColumn("mae", F.col("mae") * 1.01))
-    return mixed.mixed_model(twice, ["model"], "mae", ["f_disc_mean", "f_y_sd"])
+    # The three models of a dataset and seed are its repeats.
+    rows = _lme_table(spark, d).withColumn("response", F.lit("mae"))
+    return mixed.mixed_model(rows, ["response"], "mae", ["f_disc_mean", "f_y_sd"])
 
 
 @register()
@@ -970,18 +1029,105 @@ def q_univariate_forest(spark, d):
     return learners.univariate_forest(_lme_table(spark, d), ["model"], "mae", ["f_disc_mean", "f_y_sd"])
 
 
-@register()
-def q_components(spark, d):
+def _component_rows(spark, d):
     rows = _lme_table(spark, d).select("dataset_id", "model", F.col("mae").alias("value"))
     features = feature_panel(spark, d).withColumn("dataset_id", F.col("dataset_id") * 5 + F.col("seed"))
     return learners.component_prediction(rows, features, ["f_disc_mean", "f_y_sd", "f_qty_mean"])
 
 
 @register()
-def l_forest_predictor(spark, d):
-    rows = reg_panel(spark, d).where("model = 'A' and seed = 0").drop("ppd", "point_pred")
-    made = learners.PREDICTORS["linear"](LEVELS).fit_predict(rows.where("row_pos % 2 = 0"), rows.where("row_pos % 2 = 1"), _COLS, "y")
-    return regression.crps_metric(regression.distribution_rows(made, LEVELS), ["dataset_id"])
+def q_component_losses(spark, d):
+    return _component_rows(spark, d)
+
+
+@register()
+def q_components(spark, d):
+    return learners.component_summary(learners.component_gains(_component_rows(spark, d)))
+
+
+@register()
+def l_tree_predictor(spark, d):
+    rows = reg_panel(spark, d).drop("ppd", "point_pred")
+    made = learners.PREDICTORS["trees"](LEVELS, keys=KEYS).fit_predict(rows.where("row_pos % 2 = 0"), rows.where("row_pos % 2 = 1"), _COLS, "y")
+    return regression.crps_metric(regression.distribution_rows(made, LEVELS), KEYS)
+
+
+def _instance_outcomes(spark, d):
+    return _scored(spark, d).where("alpha = 0.1").withColumn("width_norm", F.col("width") / F.col("spread"))
+
+
+@register()
+def q_instance_coverage(spark, d):
+    return instance_predict.predictability(_instance_outcomes(spark, d), ["model"], _COLS, "covered", True, most=50)
+
+
+@register()
+def q_instance_width(spark, d):
+    return instance_predict.predictability(_instance_outcomes(spark, d), ["model"], _COLS, "width_norm", False, most=50)
+
+
+@register()
+def x_complexity(spark, d):
+    return complexity.complexity(reg_panel(spark, d), ["dataset_id", "seed"], _COLS, most_rows=10_000)
+
+
+@register()
+def x_class_complexity(spark, d):
+    return complexity.complexity(_emb(spark, d), ["dataset_id"], _ECOLS, "y_idx", classes=True, most_rows=10_000)
+
+
+@register()
+def x_shrunken_trees(spark, d):
+    return complexity.shrinkage(_emb(spark, d), ["dataset_id"], _ECOLS, "y_idx", classes=True, most_rows=10_000)
+
+
+@register()
+def x_target_information(spark, d):
+    return complexity.information(reg_panel(spark, d), ["dataset_id", "seed"], _COLS, most_rows=10_000)
+
+
+@register()
+def x_class_information(spark, d):
+    return complexity.information(_emb(spark, d), ["dataset_id"], _ECOLS, "y_idx", classes=True, most_rows=10_000)
+
+
+def _trials(spark, d):
+    own = _points(spark, d).select("dataset_id", "seed", "model", "mae", "rmse")
+    long = own.unpivot(["dataset_id", "seed", "model"], ["mae", "rmse"], "metric", "value")
+    return long.withColumn("ensemble", F.explode(F.array(*(F.lit(e) for e in (1, 4, 8))))).withColumn("value", F.col("value") * (1 + F.lit(0.1) / F.col("ensemble") * (F.col("dataset_id") % 3)))
+
+
+_TR = """
+tr AS (SELECT dataset_id, seed, model, metric, e AS ensemble, v * (1 + 0.1::DOUBLE / e * (dataset_id % 3)) AS value
+  FROM (SELECT dataset_id, seed, model, unnest(['mae', 'rmse']) AS metric, unnest([mae, rmse]) AS v FROM pa) CROSS JOIN (SELECT unnest([1, 4, 8]) AS e)),
+dm AS (SELECT metric, model, ensemble, dataset_id, avg(value) AS value FROM tr GROUP BY ALL)"""
+
+
+@register(S.query(S.REG, S.PA, _TR, "SELECT metric, model, ensemble, median(value) AS median_metric, count(DISTINCT dataset_id) AS n_datasets FROM dm GROUP BY ALL"), "median_metric")
+def a_ensemble_medians(spark, d):
+    return ensembles.medians(ensembles.dataset_means(_trials(spark, d)))
+
+
+@register(S.query(S.REG, S.PA, _TR, "SELECT ensemble, model, 'mae' AS coverage_type, median(CASE WHEN metric = 'mae' THEN value END) AS coverage, median(CASE WHEN metric = 'rmse' THEN value END) AS width, count(*) FILTER (metric = 'mae') AS n_datasets FROM dm GROUP BY ALL"), "coverage width")
+def a_interval_medians(spark, d):
+    return ensembles.interval_medians(ensembles.dataset_means(_trials(spark, d)), ["mae"], "rmse")
+
+
+@register(S.query(S.REG, S.PA, "SELECT dataset_id, model, avg(mae) AS mean_mae, stddev_samp(mae) AS sd_mae, arg_min(rmse, seed) AS rmse FROM pa GROUP BY ALL"), "mean_mae sd_mae rmse")
+def a_repeat_summary(spark, d):
+    return ensembles.panel_summary(_points(spark, d).withColumnRenamed("seed", "repeat"), ["dataset_id", "model"], "mae", ["rmse"])
+
+
+@register(S.query(S.REG, S.FEAT, S.FLONG, "SELECT * FROM flong WHERE feature IN ('f_disc_mean', 'f_y_sd')"), "value")
+def p_selected_features(spark, d):
+    return selection.only_selected(_features_long(spark, d), ["f_disc_mean", "f_y_sd", "f_absent"])
+
+
+@register("SELECT unnest(['c_name', 'c_mktsegment', 'o_orderstatus', 'o_orderpriority']) AS name")
+def u_text_columns(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return spark.createDataFrame([(x,) for x in preprocessing.text_columns(c, o, c)], "name string")
 
 
 # --------------------------------------------------------------------------- extension

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PARTITIONS = ("task", "dataset_id")
-KINDS = ("predictions", "metrics", "dataset_features", "instance_features", "models")
+KINDS = ("predictions", "metrics", "dataset_features", "instance_features", "models", "conformal", "conformal_metrics")
 
 
 @dataclass(frozen=True)
@@ -63,11 +63,11 @@ class Store:
         if task is not None:
             out = out.where(F.col("task") == task)
         if specs is not None:
-            keys = [s for s in specs]
-            cond = F.lit(False)
-            for s in keys:
-                cond = cond | ((F.col("task") == s.task) & (F.col("dataset_id") == s.dataset_id) & (F.col("seed") == s.seed) & (F.abs(F.col("ratio") - s.ratio) < 1e-9))
-            out = out.where(cond)
+            # However many there are, they are one small table; its datasets prune partitions.
+            wanted = self.spark.createDataFrame([(s.task, s.dataset_id, s.seed, float(s.ratio)) for s in specs], "task string, dataset_id long, seed int, __ratio double").distinct()
+            met = [out[k] == wanted[k] for k in ("task", "dataset_id", "seed")] + [F.abs(out["ratio"] - wanted["__ratio"]) < 1e-9]
+            out = out.where(F.col("task").isin({s.task for s in specs}) & F.col("dataset_id").isin({s.dataset_id for s in specs}))
+            out = out.join(wanted, met, "left_semi")
         if models is not None:
             out = out.where(F.col("model").isin(list(models)))
         if len(parts) == 1:
@@ -117,9 +117,91 @@ def write_json_lines(rows: DataFrame, path: str, metadata: dict) -> None:
     """gz JSON lines: one metadata row, a row each, and one that tells their number."""
     spark = rows.sparkSession
     body = rows.select(F.to_json(F.struct(F.lit("metric").alias("type"), *rows.columns)).alias("value"))
-    head = spark.createDataFrame([(json.dumps({"type": "metadata"} | metadata),)], "value string")
-    tail = rows.agg(F.to_json(F.struct(F.lit("complete").alias("type"), F.count(F.lit(1)).alias("rows"))).alias("value"))
-    head.union(body).union(tail).write.mode("overwrite").option("compression", "gzip").text(path)
+    body.write.mode("overwrite").option("compression", "gzip").text(path)
+    # Part names sort, so that the metadata come first and the number of rows, counted in what
+    # was written, last.
+    n = spark.read.text(path).count()
+    for name, line in (("part-!", {"type": "metadata"} | metadata), ("part-~", {"type": "complete", "rows": n})):
+        write_text(spark, f"{path}/{name}.txt", json.dumps(line) + "\n")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, replaced if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def json_lines_metadata(spark: SparkSession, path: str) -> dict:
+    """What the first line of such a file tells."""
+    line = spark.read.text(path).where(F.get_json_object("value", "$.type") == "metadata").first()
+    return {k: v for k, v in json.loads(line[0]).items() if k != "type"} if line else {}
+
+
+def save_model(spark: SparkSession, model, path: str) -> None:
+    """A library model and, once all of it is there, a sidecar with its size."""
+    model.write().overwrite().save(path)
+    write_text(spark, f"{path}.complete.json", json.dumps({"bytes": _bytes(spark, path)}))
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def model_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a model is there as whole as its sidecar says."""
+    side = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.complete.json")
+    files = side.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(side) or not files.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+        return False
+    return json.loads(spark.read.text(f"{path}.complete.json").first()[0])["bytes"] == _bytes(spark, path)
+
+
+#: What marks a folder as one that drop_checkpoints may delete.
+OWNED = "_plumbline_checkpoints"
+
+
+def make_checkpoints(spark: SparkSession, path: str) -> str:
+    """A folder for checkpoints, marked as ours; one that is there and is not is refused."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, OWNED)
+    if files.exists(where) and not files.exists(mark) and len(files.listStatus(where)):
+        raise ValueError(f"{path} holds other files")
+    files.mkdirs(where)
+    write_text(spark, f"{path}/{OWNED}", "")
+    return path
+
+
+def drop_checkpoints(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that make_checkpoints has marked, and no other."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(where):
+        if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(path, OWNED)):
+            raise ValueError(f"{path} is not a checkpoint folder of ours")
+        files.delete(where, True)
+
+
+def write_validation(spark: SparkSession, path: str, checks: dict[str, int], sources: dict[str, DataFrame]) -> dict:
+    """validation.json: how many rows broke each check, and a digest of every source table."""
+    digests = {}
+    for name, rows in sources.items():
+        made = fingerprint(rows.withColumn("__one", F.lit(1)), ["__one"], rows.columns).first()
+        digests[name] = made["fingerprint"] if made else None
+    out = {"ok": not any(checks.values()), "checks": checks, "sources": digests}
+    write_text(spark, path, json.dumps(out, sort_keys=True, indent=1) + "\n")
+    return out
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """Each table as CSV with a header, in a folder of its name."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").csv(f"{folder.rstrip('/')}/{name}.csv", header=True, nullValue="")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -61,7 +61,7 @@ def test_protocol_is_claimed_once(spark, tmp_path):
 def test_conformal_run(spark):
     rows = conformal.quarter_roles(reg_panel(spark, SF).where("dataset_id = 1 and seed = 0"), KEYS)
     got = pipelines.conformal_run(rows, KEYS, LEVELS, [0.1], ["x_qty", "x_tax"])
-    assert got.select("method").distinct().count() == 11
+    assert got.select("method").distinct().count() == 12
 
 
 def test_stream_equals_table(spark, tmp_path):
