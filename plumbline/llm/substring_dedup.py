@@ -204,10 +204,10 @@ def covered(found: DataFrame) -> DataFrame:
         return staged(summed.where("several or first < last").select(*by, F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at")), "hashes")
 
     runs_of = ["h1", "h2"]
-    again = staged(found.select("block", *runs_of, "runs", "tails").join(repeated(found, runs_of), runs_of).select("block", *runs_of, "runs", "tails", "first_doc", "first_at"), "repeated")
+    again = staged(found.select("block", *runs_of, "runs", "tails").join(repeated(found, runs_of).hint("merge"), runs_of).select("block", *runs_of, "runs", "tails", "first_doc", "first_at"), "repeated")
     longer = staged(again.select("block", *runs_of, "runs", "tails").mapInArrow(_longer, _LONGER), "longer")
     keys = [*runs_of, "rest"]
-    later = longer.select("block", *keys, "runs").join(repeated(longer, keys), keys)
+    later = longer.select("block", *keys, "runs").join(repeated(longer, keys).hint("merge"), keys)
     names = ["block", "runs", "first_doc", "first_at"]
     merged = again.select(*names).union(later.select(*names)).groupBy("block").applyInArrow(_merged, "doc_id long, at array<int>, n array<int>")
     # Rows that share a doc_id may lie in several blocks.
@@ -250,7 +250,8 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, carry: list[str
     gone = staged(covered(found), "gone")
     more = [F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry or [])]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
-    joined = own.join(gone, "doc_id", "left")
+    # Alike at every size: neither side is ever sent whole to all tasks.
+    joined = own.join(gone.hint("merge"), "doc_id", "left")
     names = [c for c in joined.columns if c.startswith("carry_")]
     joined = joined.select("doc_id", "text", "gone", *names)
     extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in joined.schema.fields[3:])
