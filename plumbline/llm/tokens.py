@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 
 import numpy as np
 
@@ -16,7 +17,7 @@ import numpy as np
 _ODD = re.compile("[\t\x0b\x0c\r\x85\xa0  -     　]")
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Remembered chunks of a Python worker, about 0.25 kB each; more are encoded each time.
-MEMORY, LONGEST = 250_000, 48
+MEMORY, LONGEST = 120_000, 48
 #: The special token of the public vocabulary (fixed values).
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Two white spaces together, in texts that have no odd ones.
@@ -52,7 +53,7 @@ class ByteBpe:
         self.chunks = _Memo(self._raw)
 
     def _raw(self, text: str) -> bytes:
-        return np.array(self.ordinary(text), "<u4").tobytes()
+        return array("I", self.ordinary(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids, little-endian unsigned 32-bit; a special token's string is ordinary text."""
