@@ -61,34 +61,46 @@ def fit_counts(rows: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS) ->
     blocks, those solve the normal equations, and the ones that would be negative leave.  It
     ends when no gradient is left, or when even one pattern gains nothing; at most as many patterns
     as there are lengths repeat, so that rounding loses little."""
-    size, use = len(histogram), (rows > 0).astype(float)
+    size, use, thirds = len(histogram), (rows > 0).astype(float), np.ascontiguousarray(rows.T)
     b = histogram.astype(float)
+    b[0] = 0.0
     tall = max(1.0, float(b.max(initial=0.0)))
+    def columns(own: np.ndarray) -> np.ndarray:
+        out = np.zeros((size, len(own)))
+        np.add.at(out, (rows[own].ravel(), np.repeat(np.arange(len(own)), rows.shape[1])), use[own].ravel())
+        return out
+
     x, active, lost = np.zeros(len(rows)), np.zeros(0, np.int64), float(b @ b)
+    held, products = columns(active), np.zeros((0, 0))
     residual, join = b, JOIN
     for _ in range(rounds):
-        steep = (residual[rows] * use).sum(1)
+        # No piece has length 0, so a missing third adds nothing.
+        steep = sum(residual[c] for c in thirds)
         steep[active] = -np.inf
-        new = np.argsort(-steep, kind="stable")[:join]
+        # The steepest, ties in the order of the patterns.
+        new = np.flatnonzero(steep >= np.partition(steep, -join)[-join])[: 4 * join] if join < len(steep) else np.arange(len(steep))
+        new = new[np.argsort(-steep[new], kind="stable")][:join]
         new = new[steep[new] > 1e-9 * tall]
-        own = np.concatenate((active, new))
-        while len(own):
-            a = np.zeros((size, len(own)))
-            np.add.at(a, (rows[own].ravel(), np.repeat(np.arange(len(own)), rows.shape[1])), use[own].ravel())
-            z = np.linalg.solve(a.T @ a + 1e-9 * np.eye(len(own)), a.T @ b)
-            if (z > 1e-9 * tall).all():
-                break
-            own = own[z > 1e-9 * tall]
         if not len(new):
             break
-        left = b - a @ z if len(own) else b
+        # Of the products of columns only those with new ones are made.
+        more = columns(new)
+        own, a, across = np.concatenate((active, new)), np.concatenate((held, more), 1), held.T @ more
+        g, left = np.block([[products, across], [across.T, more.T @ more]]), b
+        while len(own):
+            z = np.linalg.solve(g + 1e-9 * np.eye(len(own)), a.T @ b)
+            keep = z > 1e-9 * tall
+            if keep.all():
+                left = b - a @ z
+                break
+            own, a, g = own[keep], a[:, keep], g[np.ix_(keep, keep)]
         if left @ left >= lost * (1 - 1e-6):
             # A block can be in its own way; one pattern alone cannot.
             if join == 1:
                 break
             join //= 2
             continue
-        active, residual, lost = own, left, float(left @ left)
+        active, held, products, residual, lost = own, a, g, left, float(left @ left)
         x[:] = 0
         x[own] = z
     return x
