@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import wilcoxon_p
 from ..functions.scalar import finite
-from .registry import direction
+from .registry import signed
 
 DRAWS = 10_000
 RANK_SEED, ENSEMBLE_SEED, CONTRAST_SEED = 20261005, 20261006, 20260930
@@ -62,9 +62,8 @@ def contrast_intervals(deltas: DataFrame, keys: Sequence[str], value: str = "del
 def transitions(panel: DataFrame) -> DataFrame:
     """Signed improvement of each dataset and model from each ensemble size to the next."""
     own = Window.partitionBy("metric", "model", "dataset_id").orderBy("ensemble")
-    signs = {m: direction(m) or -1 for m in [r["metric"] for r in panel.select("metric").distinct().collect()]}
-    sign = F.coalesce(F.create_map(*(F.lit(x) for p in signs.items() for x in p))[F.col("metric")], F.lit(-1)) if signs else F.lit(-1)
-    steps = panel.withColumns({"next": F.lead("ensemble").over(own), "gain": (F.lead("value").over(own) - F.col("value")) * sign})
+    here, there = signed(F.col("metric"), F.col("value")), signed(F.col("metric"), F.lead("value").over(own))
+    steps = panel.withColumns({"next": F.lead("ensemble").over(own), "gain": here - there})
     return steps.where("next is not null").groupBy("metric", "ensemble", "next", "dataset_id").agg(F.avg(finite(F.col("gain"))).alias("gain"))
 
 

@@ -640,9 +640,14 @@ def n_split_cqr_standard(spark, d):
     return _summary(conformal.split_conformal(_roles(spark, d), KEYS, LEVELS, [0.1], "cqr_standard", pooled=False))
 
 
-@register()
+_U = "greatest(least(0.5 + (y / point_pred - 1) / spread, 0.95::DOUBLE), 0.05::DOUBLE)"
+
+
+@register(_scp(f"greatest({_U}, 1 - {_U})", "point_pred * (1 + (greatest(1 - t, 0.05::DOUBLE) - 0.5) * spread) - 1e-9", "point_pred * (1 + (least(t, 0.95::DOUBLE) - 0.5) * spread) + 1e-9"), "coverage")
 def n_split_pit(spark, d):
-    return _summary(conformal.split_conformal(_roles(spark, d), KEYS, LEVELS, [0.1], "pit"))
+    # As with the normalised score, bounds are widened by what rounding may move them.
+    made = conformal.split_conformal(_roles(spark, d), KEYS, LEVELS, [0.1], "pit")
+    return _summary(made.withColumns({"lower": F.col("lower") - 1e-9, "upper": F.col("upper") + 1e-9}))
 
 
 @register(S.query(S.REG, _ROLES, "SELECT dataset_id, seed, model, avg(CASE WHEN y >= lo AND y <= hi THEN 1 ELSE 0 END) AS coverage, count(*) FILTER (lo > hi) AS n_empty, 0::BIGINT AS n_infinite, count(*) AS n FROM cf WHERE role = 'test' GROUP BY ALL"), "coverage")
