@@ -75,7 +75,7 @@ def registers(n_texts: int, doc: np.ndarray, value: np.ndarray) -> np.ndarray:
     while len(row):
         other = _ORDER[reg, step]
         hit = full[row, other]
-        # A borrowed value is marked with its lender, so it agrees only with a like loan.
+        # Lenders are tried in an order of the register's own, so two texts borrow alike.
         filled[row[hit], reg[hit]] = least[row[hit], other[hit]]
         row, reg, step = row[~hit], reg[~hit], step + 1
     fraction, exponent = np.frexp(filled.astype(np.float64))
@@ -259,7 +259,8 @@ def links_across(docs: DataFrame, placed: DataFrame) -> DataFrame:
     """
 
     def mixed(rows: DataFrame) -> DataFrame:
-        several = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+        # Written first: the join then deals both sides itself, and can split a hot band.
+        several = staged(rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band"), "several")
         return rows.join(several, "band", "left_semi")
 
     left = staged(mixed(placed), "mixed")
@@ -269,7 +270,7 @@ def links_across(docs: DataFrame, placed: DataFrame) -> DataFrame:
     able = full.select("doc_id", F.size("shingles").alias("n")).join(alone, "doc_id", "left").where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= SIMILAR * F.col("n")).select("doc_id")
     left = staged(mixed(left.join(able, "doc_id", "left_semi")), "able")
 
-    first = left.groupBy("band").agg(F.min("doc_id").alias("u"))
+    first = staged(left.groupBy("band").agg(F.min("doc_id").alias("u")), "first")
     group = staged(components(left.join(first, "band").select("u", F.col("doc_id").alias("v"))).withColumnsRenamed({"node": "doc_id", "component": "group"}), "groups")
     sizes = group.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     member = left.select("doc_id", "component").distinct().join(group, "doc_id").join(sizes, "group")
@@ -286,13 +287,14 @@ def near_components(docs: DataFrame) -> DataFrame:
     that id; ``class_id``: the smallest doc_id with the same set.
     """
     signed = staged(signatures(docs), "signatures")
-    classes = signed.where("set_a is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
+    # Written first, as other aggregates here: a join of two tables can split a hot key.
+    classes = staged(signed.where("set_a is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id")), "sets-of")
     member = staged(signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", F.when(F.col("set_a").isNull(), F.col("doc_id"))).alias("class_id")), "members")
     chosen = member.where("n_shingles > 0 and doc_id = class_id").select("doc_id").distinct()
     signed = staged(signed.join(chosen, "doc_id", "left_semi").select("doc_id", "n_shingles", "registers", "bands"), "classes")
 
     keyed = signed.select("doc_id", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center < last").select("band", "center")
+    shared = staged(keyed.groupBy("band").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center < last").select("band", "center"), "shared")
     buckets = staged(keyed.join(shared.hint("merge"), "band"), "bands")
 
     # One centre for each representative: its most alike.
