@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir) and all rows that its predecessor kept; r
 writes each result to the shared folder and reads it again before the next stage, and then
 deletes what the stage before it had staged.
 
-In every stage null text counts as empty, rows that share a doc_id are judged alike and stay
-or go together, extra columns are handed through whatever their names, and an empty table
-gives an empty one.
+In every stage null text counts as empty, extra columns are handed through whatever their
+names, and an empty table gives an empty one.  The classifier judges each row by its text;
+rows that share a doc_id stay or go together in the stages after it.
 """
 
 from __future__ import annotations
