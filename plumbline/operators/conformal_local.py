@@ -135,14 +135,23 @@ def posterior_mixture(s_fit: np.ndarray, x_fit: np.ndarray, s_cal: np.ndarray, x
         return np.clip(p / p.sum(1, keepdims=True), 1e-12, None)
 
     log_cal, p_test = np.log(membership(x_cal)), membership(x_test)
-    drawn = np.stack([rng.multinomial(precision, p / p.sum()) for p in p_test])
-    log_w, own = drawn @ log_cal.T, (drawn * np.log(p_test)).sum(1)
-    top = np.maximum(log_w.max(1), own)
-    w, own = np.exp(log_w - top[:, None]), np.exp(own - top)
+    drawn = rng.multinomial(precision, p_test / p_test.sum(1, keepdims=True))
+    own = (drawn * np.log(p_test)).sum(1)
     order = np.argsort(s_cal, kind="stable")
-    share = np.cumsum(w[:, order], 1) / (w.sum(1) + own)[:, None]
-    reached = share >= 1 - alpha - 1e-12
-    return np.where(reached.any(1), s_cal[order][reached.argmax(1)], np.inf)
+    s_cal, log_cal = s_cal[order], log_cal[order]
+    # Test rows with the same draws have the same weights, and only their own weights differ.
+    drawn, of = np.unique(drawn, axis=0, return_inverse=True)
+    of = of.reshape(-1)
+    by = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[by], np.arange(len(drawn) + 1))
+    at = np.empty(len(x_test), np.int64)
+    for d, start, end in zip(drawn, ends[:-1], ends[1:], strict=True):
+        log_w = log_cal @ d
+        top = log_w.max()
+        run = np.cumsum(np.exp(log_w - top))
+        rows = by[start:end]
+        at[rows] = np.searchsorted(run, (1 - alpha - 1e-12) * (run[-1] + np.exp(np.minimum(own[rows] - top, 700.0))))
+    return np.append(s_cal, np.inf)[at]
 
 
 class Cell(NamedTuple):
