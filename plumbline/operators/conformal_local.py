@@ -1,7 +1,7 @@
 """Conformal methods whose calibration is weighted by nearness; grouped numpy.
 
-A cell is one (dataset, seed, model); its rows are bounded by the experiment's row cap, so
-a group fits a task.  Kernels are Gaussian in standardised features.
+A cell is one (dataset, seed, model); its rows fit a task, but not a matrix of all their pairs:
+weights are summed by ``functions.kernels``.  Kernels are Gaussian in standardised features.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ppd
+from ..functions.kernels import Places, Running, kernel, median_squared_distance, squared_distances
 
 
 def standardise(fit: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
@@ -24,14 +25,6 @@ def standardise(fit: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
     return [(x - mean) / sd for x in (fit, *others)]
 
 
-def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
-
-
-def kernel(d2: np.ndarray, bandwidth: float) -> np.ndarray:
-    return np.exp(-d2 / (2 * bandwidth * bandwidth))
-
-
 def effective_size(k: np.ndarray) -> float:
     """n over the squared norm of the row-normalised kernel, less one."""
     total = k.sum(1, keepdims=True)
@@ -52,8 +45,8 @@ def bandwidth_for(x: np.ndarray, target: float) -> float:
 
 
 def median_bandwidth(x: np.ndarray) -> float:
-    d2 = squared_distances(x, x)[np.triu_indices(len(x), 1)]
-    return float(np.sqrt(np.median(d2))) if len(d2) and np.median(d2) > 0 else 1.0
+    d2 = median_squared_distance(x)
+    return float(np.sqrt(d2)) if d2 > 0 else 1.0
 
 
 def weighted_quantile(values: np.ndarray, weights: np.ndarray, q: float) -> np.ndarray:
@@ -108,10 +101,19 @@ def randomly_local(s: np.ndarray, x_cal: np.ndarray, x_test: np.ndarray, bandwid
     return np.where(reached.any(1), s[order][reached.argmax(1)], np.inf)
 
 
+def local_quantile(s: np.ndarray, x: np.ndarray, at: np.ndarray, bandwidth: float, q: float) -> np.ndarray:
+    """``weighted_quantile`` of the scores for each row of ``at``, by kernel weights."""
+    order = np.argsort(s, kind="stable")
+    places = Places(at)
+    run = Running(places, x[order], bandwidth)
+    place, _ = run.reach((q - 1e-12) * run.total)
+    plain = weighted_quantile(s, np.ones((1, len(s))), q)
+    return np.where(run.total > 0, s[order][np.minimum(place, len(s) - 1)], plain)[places.of]
+
+
 def smoothed_local(s_fit: np.ndarray, x_fit: np.ndarray, s_cal: np.ndarray, x_cal: np.ndarray, x_test: np.ndarray, bandwidth: float, alpha: float) -> np.ndarray:
     """A kernel-weighted score quantile fitted on one part, corrected on the other."""
-    q_cal = weighted_quantile(s_fit, kernel(squared_distances(x_cal, x_fit), bandwidth), 1 - alpha)
-    q_test = weighted_quantile(s_fit, kernel(squared_distances(x_test, x_fit), bandwidth), 1 - alpha)
+    q_cal, q_test = (local_quantile(s_fit, x_fit, x, bandwidth, 1 - alpha) for x in (x_cal, x_test))
     left = np.sort(s_cal - q_cal)
     k = int(np.ceil((len(left) + 1) * (1 - alpha) - 1e-9))
     return q_test + (left[k - 1] if k <= len(left) else np.inf)

@@ -60,3 +60,22 @@ def test_posterior_mixture_by_row(kind):
 def test_posterior_mixture_memory():
     used, made = peak("PCP")
     assert used < 200 and len(made) == 6000
+
+
+@pytest.mark.parametrize("kind", ["grid", "continuous", "constant"])
+@pytest.mark.parametrize("rows", [9, 240, 6000])
+def test_smoothed_by_row(kind, rows):
+    own = cell(rows, kind)
+    x_fit, x_cal, x_test = conformal_local.standardise(own.x_fit, own.x_cal, own.x_test)
+    d2 = ((x_fit[:, None] - x_fit[None]) ** 2).sum(2)[np.triu_indices(len(x_fit), 1)]
+    h = np.sqrt(np.median(d2)) or 1.0
+    assert conformal_local.median_bandwidth(x_fit) == pytest.approx(h, rel=1e-12)
+    q_cal, q_test = (conformal_local.weighted_quantile(own.s_fit, conformal_local.kernel(((x[:, None] - x_fit[None]) ** 2).sum(2), h), 0.9) for x in (x_cal, x_test))
+    left, k = np.sort(own.s_cal - q_cal), int(np.ceil((len(x_cal) + 1) * 0.9 - 1e-9))
+    expected = q_test + (left[k - 1] if k <= len(left) else np.inf)
+    np.testing.assert_allclose(conformal_local.METHODS["SLCP"](own, 0.1, None), expected, rtol=1e-12)
+
+
+def test_smoothed_memory():
+    used, made = peak("SLCP")
+    assert used < 200 and len(made) == 6000
