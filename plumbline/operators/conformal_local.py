@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ppd
-from ..functions.kernels import Places, Running, kernel, median_squared_distance, squared_distances
+from ..functions.kernels import HELD, Places, Running, effective_sizes, kernel, median_squared_distance, own_sums, squared_distances
 
 
 def standardise(fit: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
@@ -25,22 +25,14 @@ def standardise(fit: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
     return [(x - mean) / sd for x in (fit, *others)]
 
 
-def effective_size(k: np.ndarray) -> float:
-    """n over the squared norm of the row-normalised kernel, less one."""
-    total = k.sum(1, keepdims=True)
-    h = np.divide(k, total, out=np.zeros_like(k), where=total > 0)
-    norm = float((h * h).sum())
-    return len(k) / norm - 1 if norm > 0 else 0.0
-
-
 def bandwidth_for(x: np.ndarray, target: float) -> float:
     """The bandwidth whose effective size meets the target, by bisection."""
-    d2 = squared_distances(x, x)
+    size = effective_sizes(x)
     low, high = 1e-3, 1e3
     for _ in range(60):
         mid = np.sqrt(low * high)
         # A wider kernel spreads weights, so its effective size grows.
-        low, high = (mid, high) if effective_size(kernel(d2, mid)) < target else (low, mid)
+        low, high = (mid, high) if size(mid) < target else (low, mid)
     return float(np.sqrt(low * high))
 
 
@@ -64,30 +56,57 @@ def calibrated_local(s: np.ndarray, x_cal: np.ndarray, x_test: np.ndarray, bandw
     """The largest feasible threshold of each test point when its own score joins the
     calibration: for every candidate threshold, the kernel-weighted ranks of all rows are
     compared with that of the test row, whose share of as extreme ranks must pass alpha."""
-    k_cc, k_tc = kernel(squared_distances(x_cal, x_cal), bandwidth), kernel(squared_distances(x_test, x_cal), bandwidth)
-    order = np.argsort(s, kind="stable")
-    s, k_cc, k_tc = s[order], k_cc[order][:, order], k_tc[:, order]
     n = len(s)
-    below = np.cumsum(k_cc, 1)
-    total = below[:, -1]
-    own_rank_base = below[np.arange(n), np.arange(n)]
-    out = np.full(len(x_test), np.inf)
-    cum_t = np.cumsum(k_tc, 1)
-    for t in range(len(x_test)):
-        w = k_tc[t]
-        # Candidate v just under s[j]: rows i >= j lie above it, rows below j under it.
-        own = np.concatenate(([0.0], cum_t[t]))[: n + 1]
-        test_rank = (own + 1.0) / (cum_t[t, -1] + 1.0)
-        base = own_rank_base / (total + w)
-        with_test = (own_rank_base + w) / (total + w)
-        feasible = -1
-        for j in range(n, -1, -1):
-            ranks = np.where(np.arange(n) >= j, with_test, base)
-            if (1 + (ranks >= test_rank[j] - 1e-12).sum()) / (n + 1) > alpha:
-                feasible = j
-                break
-        out[t] = np.inf if feasible == n else s[feasible] if feasible >= 0 else -np.inf
-    return out
+    order = np.argsort(s, kind="stable")
+    s, x_cal = s[order], x_cal[order]
+    wanted = next(c for c in range(n + 1) if (1 + c) / (n + 1) > alpha)
+    if not wanted:
+        return np.full(len(x_test), np.inf)
+    if not np.isfinite(x_cal).all():
+        return np.full(len(x_test), -np.inf)
+    base, total = own_sums(x_cal, bandwidth)
+    # The test row weighs 0 to 1, so a rank lies between these; the rank that ``wanted`` rows reach, too.
+    least, most = base / (total + 1), (base + 1) / (total + 1)
+    sure, never = (np.partition(r, n - wanted)[n - wanted] for r in (least, most))
+    sure, never = sure - 1e-11, never + 1e-11
+    always = least >= never
+    unsure = np.flatnonzero(~always & (most >= sure - 1e-11))
+
+    # Candidate j is just under s[j]: rows i >= j lie above it, rows below j under it.  The test row's
+    # rank grows with j and the other ranks fall, so that feasible candidates come first.
+    places = Places(x_test)
+    run = Running(places, x_cal, bandwidth)
+
+    def last_at_most(rank: float) -> tuple[np.ndarray, np.ndarray]:
+        top = (rank + 1e-12) * (run.total + 1) - 1
+        at, before = run.reach(np.nextafter(top, np.inf))
+        return np.where(top >= 0, at, -1), np.where(top >= 0, before, 0.0)
+
+    low, start = last_at_most(sure)
+    high, _ = last_at_most(never)
+    high = np.maximum(low, high)
+    left = np.flatnonzero(high > low)
+    left = left[np.argsort((high - low)[left], kind="stable")]
+    while len(left):
+        # As many as fit a block with the widest of them.
+        widths = high[left] - np.maximum(low[left], 0) + 1
+        fit = np.flatnonzero((widths + len(unsure)) * np.arange(1, len(left) + 1) > HELD // 4)
+        rows, left = np.split(left, [max(1, int(fit[0])) if len(fit) else len(left)])
+        first, x = np.maximum(low[rows], 0), places.x[rows]
+        at = np.minimum(first[:, None] + np.arange((high[rows] - first).max()), n - 1)
+        own = sum(((x_cal[at, k] - x[:, k, None]) ** 2 for k in range(x.shape[1])), np.zeros(at.shape))
+        own = np.concatenate((start[rows, None], start[rows, None] + np.cumsum(kernel(own, bandwidth), 1)), 1)
+        w = kernel(squared_distances(x, x_cal[unsure]), bandwidth)
+        under, over = base[unsure] / (total[unsure] + w), (base[unsure] + w) / (total[unsure] + w)
+        a, b = low[rows], high[rows]
+        while (a < b).any():
+            j = (a + b + 1) // 2
+            rank = (own[np.arange(len(rows)), np.maximum(j - first, 0)] + 1) / (run.total[rows] + 1)
+            reached = np.where(unsure >= j[:, None], over, under) >= rank[:, None] - 1e-12
+            feasible = always.sum() + reached.sum(1) >= wanted
+            a, b = np.where(feasible & (a < b), j, a), np.where(feasible | (a >= b), b, j - 1)
+        low[rows] = a
+    return np.concatenate((s, [np.inf, -np.inf]))[low][places.of]
 
 
 def randomly_local(s: np.ndarray, x_cal: np.ndarray, x_test: np.ndarray, bandwidth: float, alpha: float, rng: np.random.Generator) -> np.ndarray:

@@ -79,3 +79,39 @@ def test_smoothed_by_row(kind, rows):
 def test_smoothed_memory():
     used, made = peak("SLCP")
     assert used < 200 and len(made) == 6000
+
+
+@pytest.mark.parametrize("kind", ["grid", "continuous", "constant"])
+@pytest.mark.parametrize(("rows", "alpha"), [(7, 0.1), (60, 0.1), (160, 0.35)])
+def test_calibrated_by_candidate(kind, rows, alpha):
+    """Every candidate threshold of every test row, the largest first."""
+    own = cell(rows, kind)
+    s, x, test, h = conformal_local._pooled(own)
+    got = conformal_local.METHODS["CalLCP"](own, alpha, None)
+    order = np.argsort(s, kind="stable")
+    s, x, n = s[order], x[order], len(s)
+    near = conformal_local.kernel(((x[:, None] - x[None]) ** 2).sum(2), h)
+    base, total = np.tril(near).sum(1), near.sum(1)
+    for t, row in zip(got, test, strict=True):
+        w = conformal_local.kernel(((row - x) ** 2).sum(1), h)
+        expected = -np.inf
+        for j in range(n, -1, -1):
+            ranks = (base + np.where(np.arange(n) >= j, w, 0.0)) / (total + w)
+            if (1 + (ranks >= (w[:j].sum() + 1) / (w.sum() + 1) - 1e-12).sum()) / (n + 1) > alpha:
+                expected = s[j] if j < n else np.inf
+                break
+        assert t == expected
+
+
+@pytest.mark.parametrize("kind", ["grid", "continuous", "constant"])
+def test_bandwidth_by_matrix(kind):
+    """The effective size of the whole kernel matrix at the bandwidth found is the target."""
+    x = conformal_local._pooled(cell(400, kind))[1]
+    near = conformal_local.kernel(((x[:, None] - x[None]) ** 2).sum(2), conformal_local.bandwidth_for(x, 50.0))
+    size = len(x) / ((near / near.sum(1, keepdims=True)) ** 2).sum() - 1
+    assert size == pytest.approx(50.0 if kind != "constant" else len(x) - 1)
+
+
+def test_calibrated_memory():
+    used, made = peak("CalLCP")
+    assert used < 200 and len(made) == 6000
