@@ -201,11 +201,11 @@ def _cal_wcp(cell: Cell, alpha: float, rng: np.random.Generator, **_) -> np.ndar
     """Fixed weights around each test row: the least score whose weighted share, the test row's
     own weight counted as endless, reaches the level."""
     s, x, test, h = _pooled(cell)
-    weight = kernel(squared_distances(test, x), h)
     order = np.argsort(s, kind="stable")
-    share = np.cumsum(weight[:, order], 1) / (weight.sum(1, keepdims=True) + 1.0)
-    reached = share >= 1 - alpha - 1e-12
-    return np.where(reached.any(1), s[order][reached.argmax(1)], np.inf)
+    places = Places(test)
+    run = Running(places, x[order], h)
+    place, _ = run.reach((1 - alpha - 1e-12) * (run.total + 1.0))
+    return np.append(s[order], np.inf)[place][places.of]
 
 
 def _rlcp(cell: Cell, alpha: float, rng: np.random.Generator, **_) -> np.ndarray:

@@ -115,3 +115,20 @@ def test_bandwidth_by_matrix(kind):
 def test_calibrated_memory():
     used, made = peak("CalLCP")
     assert used < 200 and len(made) == 6000
+
+
+@pytest.mark.parametrize("kind", ["grid", "continuous", "constant"])
+@pytest.mark.parametrize("rows", [7, 240, 2400])
+def test_fixed_weights_by_matrix(kind, rows):
+    own = cell(rows, kind)
+    s, x, test, h = conformal_local._pooled(own)
+    order = np.argsort(s)
+    w = conformal_local.kernel(((test[:, None] - x[order][None]) ** 2).sum(2), h)
+    reached = np.cumsum(w, 1) / (w.sum(1, keepdims=True) + 1) >= 0.9 - 1e-12
+    expected = np.where(reached.any(1), s[order][reached.argmax(1)], np.inf)
+    np.testing.assert_array_equal(conformal_local.METHODS["CalWCP"](own, 0.1, None), expected)
+
+
+def test_fixed_weights_memory():
+    used, made = peak("CalWCP")
+    assert used < 200 and len(made) == 6000
