@@ -112,12 +112,11 @@ def calibrated_local(s: np.ndarray, x_cal: np.ndarray, x_test: np.ndarray, bandw
 def randomly_local(s: np.ndarray, x_cal: np.ndarray, x_test: np.ndarray, bandwidth: float, alpha: float, rng: np.random.Generator) -> np.ndarray:
     """Weights are centred at a perturbed copy of the test point; its own weight sits at infinity."""
     centre = x_test + bandwidth * rng.standard_normal(x_test.shape)
-    w = kernel(squared_distances(centre, x_cal), bandwidth)
     own = kernel(((centre - x_test) ** 2).sum(1), bandwidth)
     order = np.argsort(s, kind="stable")
-    share = np.cumsum(w[:, order], 1) / (w.sum(1) + own)[:, None]
-    reached = share >= 1 - alpha - 1e-12
-    return np.where(reached.any(1), s[order][reached.argmax(1)], np.inf)
+    run = Running(centre, x_cal[order], bandwidth)
+    place, _ = run.reach((1 - alpha - 1e-12) * (run.total + own))
+    return np.append(s[order], np.inf)[place]
 
 
 def local_quantile(s: np.ndarray, x: np.ndarray, at: np.ndarray, bandwidth: float, q: float) -> np.ndarray:

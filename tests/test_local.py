@@ -132,3 +132,20 @@ def test_fixed_weights_by_matrix(kind, rows):
 def test_fixed_weights_memory():
     used, made = peak("CalWCP")
     assert used < 200 and len(made) == 6000
+
+
+@pytest.mark.parametrize(("kind", "rows"), [(kind, rows) for kind in ("grid", "continuous", "constant") for rows in (7, 240, 2400)] + [("grid", 9000)])
+def test_random_centres_by_matrix(kind, rows):
+    own = cell(rows, kind)
+    s, x, test, h = conformal_local._pooled(own)
+    centre = test + h * np.random.default_rng(6).standard_normal(test.shape)
+    order = np.argsort(s)
+    w = np.concatenate([conformal_local.kernel(((part[:, None] - x[order][None]) ** 2).sum(2), h) for part in np.array_split(centre, 20)])
+    reached = np.cumsum(w, 1) / (w.sum(1) + conformal_local.kernel(((centre - test) ** 2).sum(1), h))[:, None] >= 0.9 - 1e-12
+    expected = np.where(reached.any(1), s[order][reached.argmax(1)], np.inf)
+    np.testing.assert_array_equal(conformal_local.METHODS["RLCP"](own, 0.1, np.random.default_rng(6)), expected)
+
+
+def test_random_centres_memory():
+    used, made = peak("RLCP")
+    assert used < 200 and len(made) == 6000
